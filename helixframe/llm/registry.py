@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from . import op08_line_dedup
+from .op08_line_dedup import op8_line_dedup
 from .op10_mixing import op10_mixing
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_line_dedup": op08_line_dedup.ORACLE_SQL}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op10_mixing,)}
+    return {f.__name__: f for f in (op8_line_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
