@@ -37,8 +37,11 @@ from .common import table
 LIMIT = 1024
 #: Characters of a piece and of a chunk of the scan.
 PIECE, CHUNK = 1 << 20, 128
-#: Compiled states and known pre-tokens before a worker starts compiling afresh, to bound its memory.
-MOST_STATES = 400_000
+#: Compiled states before a worker starts compiling afresh, to bound its memory.
+MOST_STATES = 180_000
+
+#: Where fewer tokens can still come of the open bytes, a state lists those that may; this merges equal states.
+FEW = 40
 
 NONE, LETTER, NUMBER, OTHER, SPACED, BLANKS, TWO_LEFT, ONE_LEFT = range(8)
 # symbols: letter, number, other, apostrophe of a 2- or 3-character contraction, a space or another white space before
@@ -161,18 +164,19 @@ class Counter:
             x, y = self.ids[plain[a]], self.ids[plain[b]]
             self.rank[x, y] = r
             self.made.setdefault(self.ids[plain[a] + plain[b]], (x, y, r))
-        self.prefixes = {b[:k] for b in self.ids for k in range(len(b) + 1)}
+        self.longer: dict[bytes, list[int]] = {}  # the tokens that begin with these bytes and are longer
+        for b, i in self.ids.items():
+            for k in range(len(b)):
+                self.longer.setdefault(b[:k], []).append(i)
         self.left_of: dict[int, list[tuple[int, float]]] = {}
         self.right_of: dict[int, list[tuple[int, float]]] = {}
         self.stable: dict[tuple[int, int], bool] = {}
-        self.known: dict[bytes, int] = {}
         self.clear()
 
     def clear(self) -> None:
         self.states: dict[tuple, int] = {}
         self.keys: list[tuple] = []
-        self.moves: dict[int, tuple[int, int]] = {}
-        self.known.clear()
+        self.moves = np.zeros(1 << 12 << 8, np.int32)  # by state and byte: next state * 16 + change + 8; 0: not compiled
         self.state((b"", ((-1, 0),)))
 
     def state(self, key: tuple) -> int:
@@ -180,6 +184,8 @@ class Counter:
         if at is None:
             at = self.states[key] = len(self.keys)
             self.keys.append(key)
+            if at << 8 >= len(self.moves):
+                self.moves = np.concatenate((self.moves, np.zeros_like(self.moves)))
         return at
 
     def spine(self, token: int, side: int) -> list[tuple[int, float]]:
@@ -215,39 +221,58 @@ class Counter:
             self.stable[key] = known
         return known
 
-    def move(self, at: int, byte: int) -> tuple[int, int]:
-        """Compile the transition of a state by a byte: (next state, change of the count)."""
-        seen, last = self.keys[at]  # the open bytes; (last token, count relative to the newest) at each open position
+    def allowed(self, what: int | tuple, token: int) -> bool:
+        """Whether a token may start where ``what`` stands: the token before, or -1 at the start, or all that may."""
+        return token in what if isinstance(what, tuple) else what < 0 or self.fits(what, token)
+
+    def move(self, at: int, byte: int) -> None:
+        """Compile the transition of a state by a byte."""
+        seen, last = self.keys[at]  # the open bytes; what may start at each open position, and its count relative to the newest
         grown = seen + bytes((byte,))
-        for k in range(len(grown)):  # from the longest suffix
-            token = self.ids.get(grown[k:])
-            if token is None:
-                continue
-            before, relative = last[k]
-            if before < 0 or self.fits(before, token):
+        for k, x in enumerate(last):  # from the longest suffix
+            token = x and self.ids.get(grown[k:])
+            if token is not None and self.allowed(x[0], token):
                 break
         else:
             raise ValueError("the vocabulary lacks a byte")
-        change = relative + 1
-        keep = next(k for k in range(len(grown) + 1) if grown[k:] in self.prefixes)
-        # the same prefix can only begin a longer token if it is a true prefix of one; shorter keeps fewer positions
-        rest = tuple((t, c - change) for t, c in last[keep:]) + ((token, 0),)
-        out = self.moves[at << 8 | byte] = (self.state((grown[keep:], rest)), change)
+        change = last[k][1] + 1
+        rest: list[tuple | None] = []
+        for k, x in enumerate(last):
+            longer = x and self.longer.get(grown[k:])
+            if longer:
+                what = x[0]
+                if isinstance(what, tuple) or len(longer) <= FEW:
+                    what = tuple(t for t in longer if self.allowed(what, t))
+                longer = (what, x[1] - change) if what != () else None
+            rest.append(longer or None)
+        keep = next((k for k, x in enumerate(rest) if x), len(rest))
+        key = (grown[keep:], (*rest[keep:], (token, 0)))
+        at_next = self.state(key)
+        if not -8 <= change < 8:
+            raise ValueError("a transition changes the count by more than the table holds")
+        self.moves[at << 8 | byte] = at_next << 4 | (change + 8)
+
+    def words(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Tokens of each pre-token, all read side by side, byte by byte."""
+        if len(self.keys) > MOST_STATES:
+            self.clear()
+        order = np.argsort(-lengths, kind="stable")
+        starts, lengths = starts[order], lengths[order]
+        total, state = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        for j in range(int(lengths[0]) if len(lengths) else 0):
+            n = int(np.searchsorted(-lengths, -j))  # those longer than j
+            at = state[:n] << 8 | data[starts[:n] + j]
+            got = self.moves[at]
+            if not got.all():
+                for key in np.unique(at[got == 0]).tolist():
+                    self.move(key >> 8, key & 255)
+                got = self.moves[at]
+            total[:n] += (got & 15) - 8
+            state[:n] = got >> 4
+        out = np.empty_like(total)
+        out[order] = total
         return out
 
-    def count(self, word: bytes) -> int:
-        known = self.known.get(word)
-        if known is None:
-            at = known = 0
-            moves = self.moves
-            for byte in word:
-                at, change = moves.get(at << 8 | byte) or self.move(at, byte)
-                known += change
-            self.known[word] = known
-            if len(self.keys) > MOST_STATES or len(self.known) > MOST_STATES:
-                self.clear()
-        return known
-
     def counts(self, texts: list[str | None]) -> np.ndarray:
         """Tokens of each text."""
         out = np.zeros(len(texts), np.int64)
@@ -309,8 +334,14 @@ class Counter:
         keys = (sums[ends] - sums[starts]) * inverse[starts]
         keys ^= (ends - starts).astype(np.uint64) << np.uint64(56)
         _, where, which = np.unique(keys, return_index=True, return_inverse=True)
-        count = self.count
-        each = np.fromiter((count(joined[a:b].encode("utf-8", "surrogatepass")) for a, b in zip(starts[where].tolist(), ends[where].tolist(), strict=True)), np.int64, len(where))
+        data = np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8)
+        if len(data) == len(points):
+            begin, size = starts[where], (ends - starts)[where]
+        else:
+            at = np.zeros(len(points) + 1, np.int64)
+            np.cumsum(1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000), out=at[1:])
+            begin, size = at[starts[where]], at[ends[where]] - at[starts[where]]
+        each = self.words(data, begin, size)
         owner = np.repeat(np.asarray(owners), lengths)[starts]
         return np.bincount(owner, weights=each[which], minlength=n).astype(np.int64)
 
