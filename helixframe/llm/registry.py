@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from . import op08_line_dedup
+from . import op02_decontamination, op08_line_dedup
+from .op02_decontamination import op2_decontamination
 from .op05_token_counts import op5_token_counts
 from .op08_line_dedup import op8_line_dedup
 from .op10_mixing import op10_mixing
 
-ORACLES: dict[str, str] = {"op8_line_dedup": op08_line_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_decontamination": op02_decontamination.ORACLE_SQL, "op8_line_dedup": op08_line_dedup.ORACLE_SQL}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op5_token_counts, op8_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op2_decontamination, op5_token_counts, op8_line_dedup, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
