@@ -135,27 +135,56 @@ def _counts(words: Words, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def seeds(words: Words, toxic: np.ndarray, rate: float) -> np.ndarray:
-    """Features that explain the toxic documents."""
+    """Features that explain the toxic documents.
+
+    First a greedy cover by log-likelihood ratio; then features that stand in a good part as many toxic documents as the
+    cover's, as pure as they, on words that none of them marks: documents with several toxic words need one for the cover.
+    """
     clean = np.flatnonzero(~toxic)
     kinds, against = _counts(words, clean)
+    weight = (1 - rate) / max(rate, 1e-9) * toxic.sum() / max(len(clean), 1)  # a clean document of the sample in units of toxic ones
+
+    def judged(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f, t = _counts(words, docs)
+        f, t = f[f != 0], t[f != 0]
+        at = np.minimum(np.searchsorted(kinds, f), max(len(kinds) - 1, 0))
+        c = (np.where(kinds[at] == f, against[at], 0) + 0.02) * weight if len(kinds) else np.full(len(f), 0.02 * weight)
+        share = t / (t + c)
+        return f, t, np.where(share > rate, t * np.log(share / rate) + c * np.log((1 - share) / (1 - rate)), 0)
+
+    def specific(equal: np.ndarray) -> np.uint64:  # of equals: the word, else its longest beginning
+        return next(e[0] for x in (words.own[0], *words.own[:0:-1]) if len(e := equal[np.isin(equal, x)]))
+
+    found, times = [], []
+    marked = np.zeros(len(words.word), bool)
     open_ = np.flatnonzero(toxic)
-    weight = (1 - rate) / max(rate, 1e-9) * toxic.sum() / max(len(clean), 1)  # clean documents for each in the sample, in units of toxic ones
-    found: list[int] = []
+    owner = np.repeat(np.arange(len(toxic)), np.diff(words.first))
+
+    def take(best: np.uint64, t: int) -> None:
+        found.append(int(best))
+        times.append(t)
+        for x in words.own:
+            marked[x == best] = True
+
     while len(open_):
-        f, t = _counts(words, open_)
-        f, t = f[f != 0], t[f != 0]
-        at = np.minimum(np.searchsorted(kinds, f), len(kinds) - 1) if len(kinds) else np.zeros(len(f), np.int64)
-        c = np.where(kinds[at] == f, against[at], 0) if len(kinds) else np.zeros(len(f))
-        share = t / (t + (c + 0.02) * weight)
-        gain = t * np.log(np.maximum(share / max(rate, 1e-9), 1e-9))
+        f, t, gain = judged(open_)
         if not len(f) or gain.max() < np.log(len(f)) + 3:
             break
-        # of equals the most specific: the word, else its longest beginning
-        equal = f[gain >= gain.max() - 1e-9]
-        best = next(e[0] for x in (words.own[0], *words.own[:0:-1]) if len(e := equal[np.isin(equal, x)]))
-        found.append(int(best))
-        left = [d for d in open_.tolist() if not any((x[words.first[d] : words.first[d + 1]] == best).any() for x in words.own)]
-        open_ = np.array(left, np.int64)
+        best = specific(f[gain >= gain.max() - 1e-9])
+        take(best, int(t[f == best][0]))
+        open_ = np.setdiff1d(open_, owner[marked])
+    if found:
+        f, t, gain = judged(np.flatnonzero(toxic))
+        every = [int(t[f == x][0]) for x in np.array(found, np.uint64) if (f == x).any()]
+        least = max(0.25 * np.median(every), (np.log(len(f)) + 3) / np.log(1 / rate))
+        for g in np.argsort(-gain, kind="stable"):
+            if gain[g] < 0.25 * np.median(every) * np.log(1 / rate) or t[g] < least:
+                break
+            equal = f[(gain == gain[g]) & (t == t[g])]
+            best = specific(equal)
+            at = np.logical_or.reduce([x == best for x in words.own])
+            if marked[at & toxic[owner]].mean() < 0.5:
+                take(best, int(t[g]))
     return np.array(found, np.uint64)
 
 
@@ -265,7 +294,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         picked = some if picked is None else picked.union(some)
     sample = docs.select(F.col(f"`{doc_id}`").alias("id_"), F.col(f"`{text}`").alias("t_")).join(F.broadcast(picked), "id_").select("t_", "y_").toPandas()
     order = pd.util.hash_pandas_object(sample, index=False).argsort(kind="stable")
-    sample = sample.iloc[order]
+    sample = sample.iloc[order].drop_duplicates()
     return fit([_bytes(x) for x in sample["t_"]], (sample["y_"] == 1).to_numpy(bool), rate)
 
 
