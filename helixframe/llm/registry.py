@@ -8,13 +8,14 @@ from .op03_near_dedup import op3_near_dedup
 from .op04_toxicity import op4_toxicity
 from .op05_token_counts import op5_token_counts
 from .op08_line_dedup import op8_line_dedup
+from .op09_html_extraction import op9_html_extraction
 from .op10_mixing import op10_mixing
 
 ORACLES: dict[str, str] = {"op2_decontamination": op02_decontamination.ORACLE_SQL, "op8_line_dedup": op08_line_dedup.ORACLE_SQL}
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_near_dedup, op4_toxicity, op5_token_counts, op8_line_dedup, op10_mixing)}
+    return {f.__name__: f for f in (op2_decontamination, op3_near_dedup, op4_toxicity, op5_token_counts, op8_line_dedup, op9_html_extraction, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
