@@ -48,3 +48,31 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 200) -> Dat
             discard(both)
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+
+
+def by_group(df: DataFrame, keys: list[str], body, schema: str) -> DataFrame:
+    """``body`` over the rows of each group as one pandas frame, several groups per task and batch.
+
+    Groups are of bounded size by construction of the caller; rows of a group that spans Arrow batches are joined.
+    """
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = df.repartition(parts, *keys).sortWithinPartitions(*keys)
+
+    def run(batches):
+        import pandas as pd
+
+        rest = None
+        for b in batches:
+            b = b if rest is None else pd.concat((rest, b), ignore_index=True)
+            if not len(b):
+                continue
+            last, same = b[keys].iloc[-1], True
+            for k in keys:
+                same = same & (b[k] == last[k])
+            rest = b[same]
+            for _, g in b[~same].groupby(keys, sort=False):
+                yield from body(g)
+        if rest is not None and len(rest):
+            yield from body(rest)
+
+    return dealt.mapInPandas(run, schema)

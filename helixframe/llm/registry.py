@@ -7,6 +7,7 @@ from .op02_decontamination import op2_decontamination
 from .op03_near_dedup import op3_near_dedup
 from .op04_toxicity import op4_toxicity
 from .op05_token_counts import op5_token_counts
+from .op07_embedding_dedup import op7_embedding_dedup
 from .op08_line_dedup import op8_line_dedup
 from .op09_html_extraction import op9_html_extraction
 from .op10_mixing import op10_mixing
@@ -15,7 +16,7 @@ ORACLES: dict[str, str] = {"op2_decontamination": op02_decontamination.ORACLE_SQ
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_decontamination, op3_near_dedup, op4_toxicity, op5_token_counts, op8_line_dedup, op9_html_extraction, op10_mixing)}
+    return {f.__name__: f for f in (op2_decontamination, op3_near_dedup, op4_toxicity, op5_token_counts, op7_embedding_dedup, op8_line_dedup, op9_html_extraction, op10_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
