@@ -31,7 +31,9 @@ from .common import table
 from .words import _VALUES, _powers, mix
 
 #: Labelled rows of each label that the model is fitted on, at most.
-SAMPLE_ROWS = 3000
+SAMPLE_ROWS = 2000
+#: Of these, rows of each label whose words the chain is trained on.
+TRAIN_ROWS = 800
 #: Bytes of the word beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6, 8)
 BITS = 18
@@ -66,18 +68,45 @@ class Words:
         self.own = [self.word]  # features of the word itself; 0: none
         for k in BEGINNINGS:
             self.own.append(np.where(length > k, at(np.minimum(self.starts + k, self.ends), 100 + k), 0))
-        new = np.zeros(len(self.starts), bool)
+
+    @classmethod
+    def of_many(cls, texts: list[bytes]) -> Words:
+        """For learning: as if all texts were read at once, with working memory for a few of them; no offsets."""
+        parts, batch, size = [], [], 0
+        for t in texts:
+            batch.append(t)
+            size += len(t)
+            if size >= 2 << 20:
+                parts.append(cls(batch))
+                batch, size = [], 0
+        if batch or not parts:
+            parts.append(cls(batch))
+        out = cls.__new__(cls)
+        out.own = [np.concatenate(x) for x in zip(*(p.own for p in parts), strict=True)]
+        out.word = out.own[0]
+        out.first = np.concatenate(([0], np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))))
+        return out
+
+    def indexes(self, size: int) -> Iterator[np.ndarray]:
+        """The places of the features in a table of ``size`` weights: the word's own, then its neighbours."""
+        mask = np.uint64(size - 1)
+        for f in self.own:
+            yield (f & mask).astype(np.int32)
+        new = np.zeros(len(self.word), bool)
         new[self.first[:-1][self.first[:-1] < len(new)]] = True
-        before, after = np.zeros_like(self.word), np.zeros_like(self.word)
-        before[1:] = np.where(new[1:], 0, mix(self.word[:-1] + np.uint64(7)))
-        after[:-1] = np.where(new[1:], 0, mix(self.word[1:] + np.uint64(9)))
-        self.features = [*self.own, before, after]
+        for salt in (7, 9):
+            near = (mix(self.word + np.uint64(salt)) & mask).astype(np.int32)
+            out = np.zeros(len(near), np.int32)
+            if salt == 7:
+                out[1:] = np.where(new[1:], 0, near[:-1])
+            else:
+                out[:-1] = np.where(new[1:], 0, near[1:])
+            yield out
 
     def unary(self, weights: np.ndarray) -> np.ndarray:
-        mask = np.uint64(len(weights) - 1)
         total = np.full(len(self.word), weights[1], np.float64)
-        for f in self.features:
-            total += weights[f & mask]
+        for i in self.indexes(len(weights)):
+            total += weights[i]
         return total
 
 
@@ -188,18 +217,19 @@ def seeds(words: Words, toxic: np.ndarray, rate: float) -> np.ndarray:
     return np.array(found, np.uint64)
 
 
-def train(words: Words, tags: np.ndarray, rounds: int = 16) -> tuple[np.ndarray, np.ndarray]:
+def train(words: Words, tags: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray]:
     """Weights and transitions by gradient ascent of the likelihood of the tags (Adagrad, small decay)."""
     weights, transitions = np.zeros(1 << BITS), np.zeros((2, 2))
     weights[1] = -4.0  # the bias sits at an index of its own
-    mask = np.uint64(len(weights) - 1)
-    index = [(f & mask).astype(np.int64) for f in words.features]
+    index = list(words.indexes(len(weights)))
     sums, trans_sums = np.full(len(weights), 1e-3), np.full((2, 2), 1.0)
     new = np.zeros(len(tags), bool)
     new[words.first[:-1][words.first[:-1] < len(tags)]] = True
     inner = ~new[1:]
     for _ in range(rounds):
-        u = words.unary(weights)
+        u = np.full(len(tags), weights[1])
+        for i in index:
+            u += weights[i]
         odds = marginal_odds(u, words.first, transitions)
         p = 1 / (1 + np.exp(-np.clip(odds, -SPREAD, SPREAD)))
         miss = tags - p
@@ -251,15 +281,22 @@ def calibrate(x: np.ndarray, y: np.ndarray, rate: float) -> np.ndarray:
 def fit(texts: list[bytes], toxic: np.ndarray, rate: float) -> dict:
     if not toxic.any() or toxic.all():
         return {"rate": float(rate)}
-    words = Words(texts)
+    words = Words.of_many(texts)
     kinds = seeds(words, toxic, rate)
+    # the chain learns from some of the rows, the calibration from all
+    part = np.sort(np.concatenate([np.flatnonzero(toxic)[:TRAIN_ROWS], np.flatnonzero(~toxic)[:TRAIN_ROWS]]))
+    words = Words.of_many([texts[i] for i in part])
     tags = np.zeros(len(words.word), np.float64)
     for f in words.own:
         tags[np.isin(f, kinds)] = 1
-    tags *= np.repeat(toxic, np.diff(words.first))
+    tags *= np.repeat(toxic[part], np.diff(words.first))
     weights, transitions = train(words, tags)
-    x = document_features(marginal_odds(words.unary(weights), words.first, transitions), words.first)
-    return {"weights": weights.astype(np.float32), "transitions": transitions, "beta": calibrate(x, toxic.astype(float), rate)}
+    del words
+    x = []
+    for a in range(0, len(texts), 256):
+        some = Words.of_many(texts[a : a + 256])
+        x.append(document_features(marginal_odds(some.unary(weights), some.first, transitions), some.first))
+    return {"weights": weights.astype(np.float32), "transitions": transitions, "beta": calibrate(np.concatenate(x), toxic.astype(float), rate)}
 
 
 def score_texts(model: dict, texts: list[bytes]) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
