@@ -340,7 +340,9 @@ def _bytes(x) -> bytes:
 
 
 def toxicity(docs: DataFrame, model: dict, text: str = "text", keep_text: bool = True, with_spans: bool = True) -> DataFrame:
-    """The columns of ``docs`` in struct ``row`` with struct ``toxicity``: score, spans of offending characters."""
+    """The columns of ``docs`` but the text in struct ``row``; ``text`` (null without ``keep_text``); struct ``toxicity``: score,
+    spans of offending characters.
+    """
     spark = docs.sparkSession
     ship(spark)
     sent = spark.sparkContext.broadcast(model)  # a table of fixed size
@@ -361,12 +363,11 @@ def toxicity(docs: DataFrame, model: dict, text: str = "text", keep_text: bool =
                     letters = np.cumsum((np.frombuffer(t, np.uint8) & 0xC0) != 0x80)
                     where = [{"start": int(letters[a] - 1), "end": int(letters[e - 1])} for a, e in marks]
                 tox.append({"score": s, "spans": where})
-            out = pd.DataFrame({"row": b["row"], "toxicity": tox})
-            yield out
+            yield pd.DataFrame({"row": b["row"], "text": b["text_"] if keep_text else None, "toxicity": tox})
 
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if keep_text or c != text])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     slim = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text_"))
-    return slim.mapInPandas(run, f"row {slim.schema['row'].dataType.simpleString()}, toxicity struct<score:double,spans:array<struct<start:bigint,end:bigint>>>")
+    return slim.mapInPandas(run, f"row {slim.schema['row'].dataType.simpleString()}, text string, toxicity struct<score:double,spans:array<struct<start:bigint,end:bigint>>>")
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
