@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from helixframe.session import discard, materialise
 
@@ -50,6 +51,12 @@ def components(edges: DataFrame, name: str = "cc", max_rounds: int = 200) -> Dat
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
+def schema_with(df: DataFrame, *columns: str, **more: str) -> T.StructType:
+    """The named columns of ``df`` with their types, whatever the names inside them, and further ones by type string."""
+    extra = T._parse_datatype_string(", ".join(f"{n} {t}" for n, t in more.items()))
+    return T.StructType([df.schema[c] for c in columns] + list(extra.fields))
+
+
 def by_group(df: DataFrame, keys: list[str], body, schema: str) -> DataFrame:
     """``body`` over the rows of each group as one pandas frame, several groups per task and batch.
 

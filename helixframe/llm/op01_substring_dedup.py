@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from helixframe.session import ship
 
-from .common import materialise, table
+from .common import materialise, schema_with, table
 from .words import mix
 
 EVERY_SPACE, EVERY_BYTE = 5, 256
@@ -181,7 +181,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     whole = docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text_"))
     both = whole.join(copies, F.col("id").eqNullSafe(F.col("id_")), "left").select("row", "text_", "copies")
-    return both.mapInPandas(cut, f"row {both.schema['row'].dataType.simpleString()}, dedup struct<text:string,n_chunks:bigint,spans:array<struct<start:bigint,end:bigint>>>")
+    return both.mapInPandas(cut, schema_with(both, "row", dedup="struct<text:string,n_chunks:bigint,spans:array<struct<start:bigint,end:bigint>>>"))
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from helixframe.session import ship
 
-from .common import table
+from .common import schema_with, table
 
 WINDOW = 10
 SHARD_BYTES = 4 << 20
@@ -296,7 +296,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]) if len(docs.columns) > 1 else F.struct(F.lit(0).alias("none"))
     slim = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text_"))
     leak = f"struct<n_words:bigint,spans:array<struct<first:bigint,behind:bigint>>,items:array<{kind}>,text:string>"
-    return slim.mapInPandas(run, f"row {slim.schema['row'].dataType.simpleString()}, leaks {leak}")
+    return slim.mapInPandas(run, schema_with(slim, "row", leaks=leak))
 
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:

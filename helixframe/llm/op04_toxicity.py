@@ -18,6 +18,7 @@ scores; null labels are not learnt from; other columns are untouched.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 
 from helixframe.session import ship
 
-from .common import table
+from .common import schema_with, table
 from .words import _VALUES, _powers, mix
 
 #: Labelled rows of each label that the model is fitted on, at most.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 1500
 #: Of these, rows of each label whose words the chain is trained on.
-TRAIN_ROWS = 800
+TRAIN_ROWS = 700
 #: Bytes of the word beginnings that are features.
 BEGINNINGS = (3, 4, 5, 6, 8)
 BITS = 18
@@ -329,10 +330,19 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     for y in (True, False):
         some = known.where((F.col("y_") == 1) == y).orderBy(F.xxhash64("id_"), "id_", "y_").limit(rows)
         picked = some if picked is None else picked.union(some)
-    sample = docs.select(F.col(f"`{doc_id}`").alias("id_"), F.col(f"`{text}`").alias("t_")).join(F.broadcast(picked), "id_").select("t_", "y_").toPandas()
-    order = pd.util.hash_pandas_object(sample, index=False).argsort(kind="stable")
-    sample = sample.iloc[order].drop_duplicates()
-    return fit([_bytes(x) for x in sample["t_"]], (sample["y_"] == 1).to_numpy(bool), rate)
+    sample = docs.select(F.col(f"`{doc_id}`").alias("id_"), F.col(f"`{text}`").alias("t_")).join(F.broadcast(picked), "id_").select("t_", "y_")
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = [b for b in batches if len(b)]
+        if not parts:
+            return
+        every = pd.concat(parts, ignore_index=True).drop_duplicates()
+        yield pd.DataFrame({"model": [pickle.dumps(fit([_bytes(x) for x in every["t_"]], (every["y_"] == 1).to_numpy(bool), rate))]})
+
+    # one task on an executor fits the bounded sample, in an order of its own
+    fitted = sample.repartition(1).sortWithinPartitions(F.xxhash64("t_"), "t_", "y_").mapInPandas(run, "model binary").collect()
+    return pickle.loads(fitted[0][0]) if fitted else {"rate": float(rate)}
 
 
 def _bytes(x) -> bytes:
@@ -367,7 +377,7 @@ def toxicity(docs: DataFrame, model: dict, text: str = "text", keep_text: bool =
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     slim = docs.select(row.alias("row"), F.col(f"`{text}`").alias("text_"))
-    return slim.mapInPandas(run, f"row {slim.schema['row'].dataType.simpleString()}, text string, toxicity struct<score:double,spans:array<struct<start:bigint,end:bigint>>>")
+    return slim.mapInPandas(run, schema_with(slim, "row", text="string", toxicity="struct<score:double,spans:array<struct<start:bigint,end:bigint>>>"))
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from helixframe.session import ship
 
-from .common import materialise, table
+from .common import materialise, schema_with, table
 
 OUTSIDE, INSIDE, LEAST_PAGES = 0.2, 0.6, 5
 BROADCAST_ROWS = 500_000
@@ -226,8 +226,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
                     _, blocks = parse(h)
                     found = {x: node.inside or node.tag in ("article", "main") for x, node in zip(subtree_hashes(h, blocks), blocks, strict=True)}
                     seen.update((host, x, inside) for x, inside in found.items())
-            rows = [(k[0], k[1], k[2], v) for k, v in seen.items()]
-            yield pd.DataFrame(rows, columns=["host", "hash", "inside", "n"]).astype({"hash": "Int64"})
+            yield pd.DataFrame({"host": [k[0] for k in seen], "hash": pd.array([k[1] for k in seen], dtype="Int64"), "inside": [k[2] for k in seen], "n": list(seen.values())})
 
     counted = hashes.mapInPandas(subtrees, "host string, hash bigint, inside boolean, n bigint").groupBy("host", "hash", "inside").agg(F.sum("n").alias("n"))
     counted = materialise(counted.where((F.col("n") >= LEAST_PAGES) | F.col("hash").isNull()), "pages-subtrees")
@@ -236,7 +235,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame
     recurring = materialise(recurring.where(F.col("n") >= F.col("pages") * F.when(F.col("inside"), INSIDE).otherwise(OUTSIDE)).select("host", "hash").distinct(), "pages-templates")
     row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html])
     slim = pages.select(row.alias("row"), F.col(f"`{url}`").alias("url_"), F.col(f"`{html}`").alias("html_"))
-    schema = f"row {slim.schema['row'].dataType.simpleString()}, text string"
+    schema = schema_with(slim, "row", text="string")
     if recurring.count() <= BROADCAST_ROWS:
         sent = spark.sparkContext.broadcast({tuple(x) for x in recurring.collect()})
 
