@@ -170,6 +170,7 @@ def register(spark: SparkSession) -> None:
     from helixframe.session import ship
 
     ship(spark)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the readers prune by pushed filters
     from . import alignments, bbi, genotypes, vep
 
     for source in (FastqSource, alignments.BamSource, bbi.BigWigSource, bbi.BigBedSource, genotypes.BgenSource, genotypes.PgenSource, genotypes.ZarrSource, genotypes.BcfSource, vep.VepEntitySource):
