@@ -20,6 +20,10 @@ SQL_CONF = {
 }
 
 
+#: Rows of a batch that goes to Python, unless the session says otherwise.
+BATCH_ROWS = 1024
+
+
 def builder(app: str = "helixframe") -> SparkSession.Builder:
     """A session builder with the engine's settings; master and sizes stay with the caller."""
     return SparkSession.builder.appName(app).config(map=SQL_CONF)
@@ -61,6 +65,8 @@ def discard(*tables: DataFrame) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for a SparkContext, for Python stages there."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: long texts want less
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_helixframe_shipped", False):
         return
