@@ -171,7 +171,7 @@ def register(spark: SparkSession) -> None:
 
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the readers prune by pushed filters
-    from . import alignments, bbi, genotypes, vep
+    from . import alignments, bbi, genotypes, indexes, vep
 
-    for source in (FastqSource, alignments.BamSource, bbi.BigWigSource, bbi.BigBedSource, genotypes.BgenSource, genotypes.PgenSource, genotypes.ZarrSource, genotypes.BcfSource, vep.VepEntitySource):
+    for source in (FastqSource, alignments.BamSource, bbi.BigWigSource, bbi.BigBedSource, genotypes.BgenSource, genotypes.PgenSource, genotypes.ZarrSource, genotypes.BcfSource, vep.VepEntitySource, indexes.IndexedLinesSource):
         spark.dataSource.register(source)

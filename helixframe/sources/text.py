@@ -21,6 +21,17 @@ def lines(spark: SparkSession, path: str | list[str], comment: str | None = "#")
     return df.where(~F.startswith("value", F.lit(comment))) if comment else df
 
 
+def indexed_lines(spark: SparkSession, path: str, regions: list[str], partitions: int = 16, kind: str = "vcf", columns: str = "0,1,2") -> DataFrame:
+    """The lines of an indexed BGZF file that overlap regions; [] gives none."""
+    from .binary import register
+
+    if not regions:
+        return lines(spark, path).limit(0)
+    register(spark)
+    reader = spark.read.format("indexed_lines").option("regions", ";".join(regions)).option("partitions", partitions)
+    return reader.option("kind", kind).option("intervalColumns", columns).load(path)
+
+
 def header_lines(spark: SparkSession, path: str, prefix: str = "#", last: str | None = None) -> list[str]:
     """The lines at the top that begin with ``prefix``, up to one that begins with ``last``; read on the driver alone."""
     n = 256
@@ -225,9 +236,11 @@ def select_samples(available: list[str], wanted: list[str] | None, missing: str
     return out
 
 
-def read_vcf(spark: SparkSession, path: str, info_fields: list[str] | None = None, format_fields: list[str] | None = None, samples: list[str] | None = None, missing_samples: str = "error", zero_based: bool = True) -> DataFrame:
+def read_vcf(spark: SparkSession, path: str, info_fields: list[str] | None = None, format_fields: list[str] | None = None, samples: list[str] | None = None, missing_samples: str = "error", zero_based: bool = True, regions: list[str] | None = None, partitions: int = 16) -> DataFrame:
     """VCF text. None means all fields, an empty list none.
 
+    ``regions`` (chrom:start-end, 1-based closed): an indexed BGZF file is read by its index, chunk by chunk.
+
     Files with one sample have FORMAT fields as columns, with more a ``genotypes`` struct of lists, one element per selected
     sample; which of both depends on the file, not on the selection.
     """
@@ -278,7 +291,7 @@ def read_vcf(spark: SparkSession, path: str, info_fields: list[str] | None = Non
             each = lambda n: F.transform(columns, lambda s: value(s, n)).alias(n)
             struct = F.struct(*[each(n) for n in formats])
             out.append(struct.alias("genotypes", metadata={"bio.samples": chosen}))
-    return lines(spark, path).select(*out)
+    return (lines(spark, path) if regions is None else indexed_lines(spark, path, regions, partitions)).select(*out)
 
 
 def free_name(name: str, taken: list[str]) -> str:

@@ -254,3 +254,29 @@ def test_without_text_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'cohort_pipeline' in e.queries() and 'pipeline' not in e.queries() and e.oracle_sql()"
     subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path, check=True)
+
+
+def test_indexed_vcf(spark, tmp_path):
+    from helixframe.sinks.lines import BGZF_END, compress
+    from helixframe.sources.indexes import build_tbi
+    from helixframe.sources.text import read_vcf
+
+    rng = random.Random(3)
+    rows = []
+    for c in ("c1", "c2", "c3"):
+        pos = 1
+        for _ in range(4000):
+            pos += rng.randint(1, 60)
+            rows.append((c, pos, "A" * rng.choice([1, 1, 1, 30])))
+    text = '##INFO=<ID=DP,Number=1,Type=Integer,Description="d">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n'
+    text += "".join(f"{c}\t{p}\t.\t{r}\tC\t.\tPASS\tDP={p % 50}\n" for c, p, r in rows)
+    path = str(tmp_path / "a.vcf.gz")
+    (tmp_path / "a.vcf.gz").write_bytes(b"".join(compress(text[k : k + 3000].encode(), "bgzf") for k in range(0, len(text), 3000)) + BGZF_END)
+    build_tbi(path)
+    for regions in (["c2:5000-9000"], ["c1:1-2000", "c1:1500-2500", "c3:100000-"], ["c9:1-5"], ["c1:1-", "c2:1-", "c3:1-"], ["c2:20010-20012", "c2:20020-20022"]):
+        spans = [(x.rpartition(":")[0], *x.rpartition(":")[2].split("-")) for x in regions]
+        want = sorted((c, p) for c, p, r in rows if any(c == a and p <= int(e or 1 << 30) and p + len(r) - 1 >= int(s) for a, s, e in spans))
+        for n in (1, 5):
+            got = sorted((r[0], r[1]) for r in read_vcf(spark, path, zero_based=False, regions=regions, partitions=n).select("chrom", "start").collect())
+            assert got == want, (regions, n)
+    assert read_vcf(spark, path, regions=[]).count() == 0
