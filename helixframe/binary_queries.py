@@ -95,6 +95,15 @@ def bcf_read(spark, d):
     return spark.read.format("bcf").load(path).select("chrom", "start", "id", F.get("genotypes.GT", 1).alias("gt"), F.col("DP").alias("dp"))
 
 
+@query(f"SELECT chrom, start, id, coalesce((CASE WHEN g < 3 THEN g END)::INT, -1) AS ds FROM ({_CALLS})")
+def bcf_dosage(spark, d):
+    rows = [(c, p, i, r, a, dp, [_CODES[g] for g in gs]) for c, p, i, r, a, dp, gs in _rows(spark, d)]
+    path = render.bcf(_scratch(spark, ".bcf"), rows, _SAMPLES, [f"chr{k}" for k in range(5)])
+    register(spark)
+    v = spark.read.format("bcf").option("dosage", "true").load(path)
+    return v.select("chrom", "start", "id", F.coalesce(F.get("genotypes.GT", 1).cast("int"), F.lit(-1)).alias("ds"))
+
+
 @query(f"SELECT chrom, start, id, {_TEXT}[g + 1] AS gt, substr(id, 2)::INT AS dp FROM ({_CALLS})")
 def zarr_read(spark, d):
     codes = [[0, 0], [0, 1], [1, 1], [-1, -1]]

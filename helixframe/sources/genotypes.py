@@ -539,12 +539,34 @@ def _gt(codes: list) -> str:
     return text or "."
 
 
+def _dosage_mode(options: dict, head: dict) -> bool:
+    """Dosage mode reads GT as the count of allele 1; GT must be the only FORMAT field."""
+    on = option(options, "dosage", "false") == "true"
+    if on and list(head["format"]) != ["GT"]:
+        raise ValueError("dosage needs GT as the only FORMAT field")
+    return on
+
+
+def gt_dosage(codes: list) -> int | None:
+    """Copies of allele 1; None if an allele is missing."""
+    if not codes:
+        raise ValueError("genotype without alleles")
+    alleles = [(c or 0) >> 1 for c in codes]
+    if 0 in alleles:
+        return None
+    count = sum(a == 2 for a in alleles)
+    if count > 127:
+        raise ValueError("dosage over 127")
+    return count
+
+
 class BcfReader(_Filtered):
     def read(self, part):
         blocks, head, at = _bcf_text(self.path)
         names, contigs = _dictionary(head), list(head["contigs"])
         rows, z = [], _zero(self.options)
         keep = self.chosen(head["samples"])
+        self.dosage = _dosage_mode(self.options, head)
         while blocks.need(at, 8):
             shared, indiv = struct.unpack("<II", blocks.get(at, 8))
             if not blocks.need(at + 8, shared + indiv):
@@ -561,6 +583,8 @@ class BcfReader(_Filtered):
             ident = t.values() or ""
             alleles = [t.values() or "" for _ in range(info_alleles >> 16)]
             filters = t.values()
+            if self.dosage and len(alleles) != 2:
+                raise ValueError("dosage of a variant without exactly one ALT")
             r = {"chrom": contigs[chrom], "start": pos + (not z), "end": pos + max(rlen, 1), "id": "" if ident == "." else ident, "ref": alleles[0], "alt": "|".join(alleles[1:]), "qual": qual, "filter": ";".join(names[x] for x in filters)}
             for n, spec in head["info"].items():
                 if spec["type"] == "Flag":
@@ -577,7 +601,7 @@ class BcfReader(_Filtered):
                 kind, n = t.descriptor()
                 each = [t.raw(kind, n) for _ in range(fmt_samples & 0xFFFFFF)]
                 spec = head["format"].get(key, {"type": "String", "number": "."})
-                r[f"F:{key}"] = [_gt(each[i]) if key == "GT" else self._value(each[i], spec) for i in keep]
+                r[f"F:{key}"] = [gt_dosage(each[i]) if self.dosage else _gt(each[i]) if key == "GT" else self._value(each[i], spec) for i in keep]
             rows.append(r)
             if len(rows) >= 2048:
                 yield self._rows(rows, head)
@@ -601,7 +625,7 @@ class BcfReader(_Filtered):
         if head["format"] and head["samples"]:
             arrays = []
             for n, s in head["format"].items():
-                kind = _SCALARS[s["type"]][1]
+                kind = pa.int8() if self.dosage else _SCALARS[s["type"]][1]
                 arrays.append(pa.array([r.get(f"F:{n}") for r in rows], pa.list_(kind if s["number"] in ("0", "1") else pa.list_(kind))))
             out["genotypes"] = pa.StructArray.from_arrays(arrays, list(head["format"]))
         return self.batch(out)
@@ -620,7 +644,8 @@ class BcfSource(DataSource):
         core = [("chrom", "string"), ("start", "bigint"), ("end", "bigint"), ("id", "string"), ("ref", "string"), ("alt", "string"), ("qual", "double"), ("filter", "string")]
         fields = core + [(n, kind(s)) for n, s in head["info"].items()]
         if head["format"] and head["samples"]:
-            fields.append(("genotypes", "struct<" + ",".join(f"`{n}`:array<{kind(s)}>" for n, s in head["format"].items()) + ">"))
+            inner = "`GT`:array<tinyint>" if _dosage_mode(self.options, head) else ",".join(f"`{n}`:array<{kind(s)}>" for n, s in head["format"].items())
+            fields.append(("genotypes", f"struct<{inner}>"))
         return pruned(fields, self.options)
 
     def reader(self, schema):
