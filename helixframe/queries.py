@@ -370,7 +370,7 @@ def _vcf(spark, d, suffix=".vcf", samples=3, **options):
     return src.read_vcf(spark, path, **options)
 
 
-_VCF_SQL = "SELECT 'rs' || id AS id, chrom, start, start + 1 AS \"end\", list_sum(DP)::INT AS DP, (id % 3 = 0) AS DB, (id % 100)::DOUBLE AS qual, 'C|T' AS alt, coalesce(GT[2], './.') AS gt2, DP[3] AS dp3, CASE WHEN id % 2 = 0 THEN 0.5 END AS af2 FROM cohort"
+_VCF_SQL = "SELECT 'rs' || id AS id, chrom, start, start + 1 AS \"end\", list_sum(DP)::INT AS DP, (id % 3 = 0) AS DB, (id % 100)::DOUBLE AS qual, 'C|T' AS alt, coalesce(GT[2], './.') AS gt2, DP[3] AS dp3, CASE WHEN id % 2 = 0 THEN 0.5::DOUBLE END AS af2 FROM cohort"
 
 
 def _vcf_columns(v):
