@@ -5,8 +5,8 @@ k-means) and residual subspace codebooks are fitted on a bounded sample (``SAMPL
 lists grows with the table. Every class is coded and stands in the list of its nearest centroid.
 
 A class probes the lists whose bisecting plane with its own list is no farther than the radius of the similarity: any
-class within the radius lies in one of those, so these probes are sufficient and both ends of a pair probe each other. Only
-beyond ``MOST_PROBES`` such lists the nearest planes are taken (recall then is measured in the tests, at least 0.9).
+class within the radius lies in one of those, so these probes are sufficient and both ends of a pair probe each other. All
+of them are probed, however many: no link is lost, and a dense group costs what its pairs cost, in units of bounded size.
 Within a list, asymmetric distances come from lookup tables. A code's distance less its own coding error is a lower bound,
 so candidates lose nothing; they are reranked by exact cosine in double precision.
 
@@ -34,7 +34,6 @@ SAMPLE_ROWS = 16_384
 #: Classes of a list, at the mean, until there are MOST_LISTS lists.
 LIST_ROWS, MOST_LISTS = 512, 2048
 SUBSPACES, CODES = 8, 64
-MOST_PROBES = 48
 BLOCK = 512
 
 
@@ -77,16 +76,14 @@ class Quantiser:
         return home, codes, np.sqrt(miss)
 
     def probes(self, x: np.ndarray, home: np.ndarray, radius: float) -> list[np.ndarray]:
+        """The lists whose bisecting plane with a row's own list is within the radius; rounding only adds to them."""
         c = self.centroids
         d = (c**2).sum(1) - 2 * x @ c.T
-        apart = np.sqrt(np.maximum(((c[home][:, None, :] - c) ** 2).sum(2), 1e-30))
-        plane = (d - d[np.arange(len(x)), home][:, None]) / (2 * apart)
-        plane[np.arange(len(x)), home] = -1
-        out = []
-        for row in plane:
-            near = np.flatnonzero(row <= radius + 1e-9)
-            out.append(near if len(near) <= MOST_PROBES else np.argsort(row, kind="stable")[:MOST_PROBES])
-        return out
+        own, at = np.unique(home, return_inverse=True)
+        apart = np.stack([np.sqrt(((c - c[h]) ** 2).sum(1)) for h in own])[at]
+        near = d - d[np.arange(len(x)), home][:, None] <= 2 * apart * (radius + 1e-9) + 1e-12
+        near[np.arange(len(x)), home] = True
+        return [np.flatnonzero(row) for row in near]
 
     def distances(self, list_: int, queries: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Asymmetric squared distances of queries from coded members of a list, by lookup tables."""

@@ -233,6 +233,25 @@ def test_embedding_dedup(spark, monkeypatch):
     assert got[500]["component_id"] == got[501]["component_id"] == got[0]["component_id"]
 
 
+def test_embedding_dedup_dense_group(spark, monkeypatch):
+    """A third of the rows are near copies of one another over more than 48 lists: every link is found."""
+    from helixframe.llm import op07_embedding_dedup as op
+
+    monkeypatch.setattr(op, "LIST_ROWS", 4)
+    monkeypatch.setattr(op, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1200, 64))
+    x[::3] = rng.normal(size=64) + 0.23 * rng.normal(size=(400, 64))
+    x = x.astype(np.float32).astype(np.float64)
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in op.near_vectors(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = x @ x.T >= 0.93
+    assert linked.sum() - len(x) > 100_000
+    assert [got[i]["n_links"] for i in range(len(x))] == (linked.sum(1) - 1).tolist()
+    assert {got[i]["component_id"] for i in range(0, len(x), 3)} == {0}
+
+
 def test_line_dedup(spark):
     from helixframe.llm.op08_line_dedup import line_dedup
 
