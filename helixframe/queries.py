@@ -537,6 +537,51 @@ for _f, _sql in (
     ORACLES[_f.__name__] = _WITH.rstrip() + ", " + _READS_SQL + " " + _sql
 
 
+#: One pass over both cases; what is left over becomes N, so every text is a sequence from end to end.
+_LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz .,\n", "ACGTACGTACGTACGTACGTACGTACGTAC"
+_WHOLE_READS_SQL = f"reads AS (SELECT 's' || doc_id AS name, 'some read' AS description, regexp_replace(translate(coalesce(text, ''), '{_LETTERS[:26].upper()}{_LETTERS[:-1]}' || chr(10), '{_BASES[:26]}{_BASES}'), '[^ACGT]', 'N', 'g') AS sequence FROM documents)"
+
+
+def _whole_reads(spark, d):
+    """Every document in full length; one without text is an empty sequence."""
+    sequence = F.translate(F.coalesce("text", F.lit("")), _LETTERS[:26].upper() + _LETTERS, _BASES[:26] + _BASES)
+    t = table(spark, d, "documents").select("doc_id", F.regexp_replace(sequence, "[^ACGT]", "N").alias("sequence"))
+    return t.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("name"), F.lit("some read").alias("description"), "sequence", F.repeat(F.lit("I"), F.length("sequence")).alias("quality_scores"))
+
+
+def fasta_read_whole(spark, d):
+    path = _scratch(spark, ".fa")
+    sink.write_fasta(_whole_reads(spark, d), path, width=60)
+    return src.read_fasta(spark, path)
+
+
+def fastq_read_whole(spark, d):
+    path = _scratch(spark, ".fastq")
+    sink.write_fastq(_whole_reads(spark, d), path)
+    return src.read_fastq(spark, path).select("name", "description", "sequence")
+
+
+def fastq_partition_invariance_whole(spark, d):
+    """The same records over byte ranges of two sizes, which the longest cross, over BGZF blocks and over one gzip stream."""
+    out, paths = None, {}
+    for k, (suffix, size) in enumerate(((".fastq", 1 << 18), (".fastq", 1 << 20), (".fastq.bgz", 1 << 18), (".fastq.gz", 1 << 18))):
+        if suffix not in paths:
+            paths[suffix] = _scratch(spark, suffix)
+            sink.write_fastq(_whole_reads(spark, d), paths[suffix])
+        one = src.read_fastq(spark, paths[suffix], size).agg(F.count("*").alias("n"), F.sum(F.length("sequence")).alias("bases")).select(F.lit(k).alias("k"), "n", "bases")
+        out = one if out is None else out.union(one)
+    return out
+
+
+for _f, _sql in (
+    (fasta_read_whole, "SELECT * FROM reads"),
+    (fastq_read_whole, "SELECT * FROM reads"),
+    (fastq_partition_invariance_whole, "SELECT k::INT AS k, count(*) AS n, sum(length(sequence))::BIGINT AS bases FROM reads, generate_series(0, 3) AS s(k) GROUP BY k"),
+):
+    QUERIES[_f.__name__] = _f
+    ORACLES[_f.__name__] = _WITH.rstrip() + ", " + _WHOLE_READS_SQL + " " + _sql
+
+
 def _alignments(spark, d):
     i = table(spark, d, "lineitem")
     n = F.col("l_quantity").cast("int")

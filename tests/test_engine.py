@@ -166,6 +166,28 @@ def test_fasta(spark, tmp_path):
     assert sorted(map(tuple, read_fasta(spark, path).collect()), key=str) == sorted(map(tuple, df.collect()), key=str)
 
 
+def documents(spark, folder, texts):
+    rows = [(i, t, ("en", "de", None)[i % 3]) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{folder}/documents.parquet")
+    return str(folder)
+
+
+def test_whole_reads(spark, tmp_path):
+    """Every document in full length, whatever its language and characters; records longer than a byte range."""
+    from helixframe.catalog import QUERIES
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abz ABZ.,\n\t0é漢😀İ") for _ in range(n)) for n in (1, 59, 60, 61, 300, 301, 5_000, 300_000, 700_000)] + ["", None, "x" * 601]
+    d = documents(spark, tmp_path, texts)
+    base = {c: "ACGT"[k % 4] for k, c in enumerate("abcdefghijklmnopqrstuvwxyz .,\n")}
+    base |= {c.upper(): x for c, x in base.items()}
+    want = sorted((f"s{i}", "some read", "".join(base.get(c, "N") for c in t or "")) for i, t in enumerate(texts))
+    for name in ("fasta_read_whole", "fastq_read_whole"):
+        assert sorted(map(tuple, QUERIES[name](spark, d).collect())) == want, name
+    total = (len(want), sum(len(x) for _, _, x in want))
+    assert sorted(map(tuple, QUERIES["fastq_partition_invariance_whole"](spark, d).collect())) == [(k, *total) for k in range(4)]
+
+
 def test_bam_and_sam(spark, tmp_path):
     from helixframe.sinks.lines import write_sam
     from helixframe.sources.alignments import infer_tags, write_bam
