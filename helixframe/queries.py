@@ -628,6 +628,13 @@ def md_tag(spark, d):
     return a.select("q", alignment.nm_and_md("cigar", "sequence", "reference")["md"].alias("md"))
 
 
+@query("SELECT l_quantity::INT AS q, '0C' || repeat('3C', (l_quantity::INT - 1) // 4) || ((l_quantity::INT - 1) % 4) AS md, count(*) AS n FROM lineitem GROUP BY ALL")
+def md_tag_whole(spark, d):
+    a = _alignments(spark, d).select("cigar", "sequence", F.repeat(F.lit("CAAA"), 15).alias("reference"), (F.col("end") - F.col("start")).cast("int").alias("q"))
+    a = a.groupBy("cigar", "sequence", "reference", "q").agg(F.count("*").alias("n"))
+    return a.select("q", alignment.nm_and_md("cigar", "sequence", "reference")["md"].alias("md"), "n")
+
+
 def describe_vcf(spark, d):
     path = _scratch(spark, ".vcf")
     sink.write_vcf(_variants(spark, d, 3).limit(10), path, _INFO, _FORMAT, ["S0", "S1", "S2"])

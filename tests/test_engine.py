@@ -188,6 +188,21 @@ def test_whole_reads(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["fastq_partition_invariance_whole"](spark, d).collect())) == [(k, *total) for k in range(4)]
 
 
+def test_whole_md(spark):
+    """MD of every alignment, short and long, against mismatches counted by hand."""
+    from helixframe.catalog import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    want = {}
+    for (n,) in spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_quantity").cast("int")).collect():
+        off = [k for k in range(n) if k % 4 == 0]  # the reference is CAAA over and over, the read all A
+        gaps = [b - a - 1 for a, b in zip([-1, *off], [*off, n])]
+        md = "C".join(map(str, gaps))
+        want[n, md] = want.get((n, md), 0) + 1
+    got = {(r["q"], r["md"]): r["n"] for r in QUERIES["md_tag_whole"](spark, d).collect()}
+    assert got == want and max(q for q, _ in got) == 50
+
+
 def test_bam_and_sam(spark, tmp_path):
     from helixframe.sinks.lines import write_sam
     from helixframe.sources.alignments import infer_tags, write_bam
