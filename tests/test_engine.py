@@ -203,6 +203,20 @@ def test_whole_md(spark):
     assert got == want and max(q for q, _ in got) == 50
 
 
+@pytest.mark.parametrize("name, source", [("describe_vcf", "orders"), ("describe_sam", "lineitem")])
+def test_described_files_are_whole(spark, monkeypatch, name, source):
+    """The file described has a record of every order or line item."""
+    from helixframe import queries
+
+    d, paths, scratch = "/root/testdata/sf0.001", [], queries._scratch
+    monkeypatch.setattr(queries, "_scratch", lambda *a: paths.append(scratch(*a)) or paths[-1])
+    assert queries.QUERIES[name](spark, d).count() > 0
+    keys = spark.read.parquet(f"{d}/lineitem.parquet").select("l_orderkey")
+    want = keys.distinct().count() if source == "orders" else keys.count()
+    records = spark.read.text(paths[0]).where(~F.col("value").rlike("^#|^@[A-Z][A-Z]\t"))
+    assert records.count() == want
+
+
 def test_bam_and_sam(spark, tmp_path):
     from helixframe.sinks.lines import write_sam
     from helixframe.sources.alignments import infer_tags, write_bam
