@@ -44,7 +44,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id_"), "t1", "t2").distinct()
     gone = materialise(gone, "pipeline-copies")
-    here = (F.col("doc_id") == F.col("id_")) & (F.xxhash64("text") == F.col("t1")) & (F.xxhash64(F.lit(7), "text") == F.col("t2"))
+    here = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("t1")) & (F.xxhash64(F.lit(7), "text") == F.col("t2"))
     return docs.join(gone, here, "left_anti")
 
 

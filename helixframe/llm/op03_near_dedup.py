@@ -16,7 +16,9 @@
 
 Defined cases: null, empty or wordless text has an empty set, its own component and is kept; equal texts are linked; a
 text with fewer words than a shingle is one shingle of all its words; repeated rows get the same result; a null doc_id has a
-null component_id unless linked with others; an empty table gives an empty result; other columns are left out.
+null component_id unless linked with others. Beside a row with an id, linked rows with a null doc_id are not kept; where no
+row of a component has an id, one text is kept, that of the smallest hashes. An empty table gives an empty result; other
+columns are left out.
 """
 
 from __future__ import annotations
@@ -148,8 +150,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
 
     signed = materialise(keyed.mapInPandas(sign, f"doc_id {kind}, t1 bigint, t2 bigint, n bigint, d1 bigint, d2 bigint, sig array<int>"), "near-signed")
     full = signed.where("n > 0")
-    nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.first(F.struct("doc_id", "t1", "t2", "sig")).alias("one"))
-    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "low", "one.doc_id", "one.t1", "one.t2", "one.sig"), "near-nodes")
+    nodes = full.groupBy("d1", "d2").agg(F.min("doc_id").alias("low"), F.min(F.struct("t1", "t2")).alias("lead"), F.first(F.struct("doc_id", "t1", "t2", "sig")).alias("one"))
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "low", "lead", "one.doc_id", "one.t1", "one.t2", "one.sig"), "near-nodes")
 
     # coordinate-value pairs that several nodes have, rarest first, and the prefix of each node
     posted = nodes.select("node", F.posexplode("sig").alias("k", "x")).select("node", F.xxhash64("k", "x").alias("value"))
@@ -185,13 +187,15 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     if big.limit(1).count():
         links = _across(big, links, percent)
     found = components(links, "near-fine")
-    where = nodes.join(found, "node", "left").select("d1", "d2", "low", F.coalesce("label", "node").alias("label"))
+    where = nodes.join(found, "node", "left").select("d1", "d2", "low", "lead", F.coalesce("label", "node").alias("label"))
     where = materialise(where, "near-where")
-    lowest = materialise(where.groupBy("label").agg(F.min("low").alias("component_id")), "near-lowest")
-    named = materialise(where.join(lowest, "label").select(F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "component_id"), "near-named")
+    lowest = materialise(where.groupBy("label").agg(F.min("low").alias("component_id"), F.min("lead").alias("first")), "near-lowest")
+    named = materialise(where.join(lowest, "label").select(F.col("d1").alias("d1_"), F.col("d2").alias("d2_"), "component_id", "first"), "near-named")
     out = signed.select("doc_id", "t1", "t2", "n", "d1", "d2").join(named, (F.col("d1") == F.col("d1_")) & (F.col("d2") == F.col("d2_")), "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "t1", "t2")
+    # where no row has an id, the text of the smallest hashes stands for the component
+    kept = F.when(F.col("n") == 0, True).when(F.col("component_id").isNull(), F.struct("t1", "t2") == F.col("first")).otherwise(F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"), "t1", "t2")
 
 
 def _across(big: DataFrame, links: DataFrame, percent: int) -> DataFrame:

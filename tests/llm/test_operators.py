@@ -111,6 +111,24 @@ def brute_components(texts, n, percent=80):
     return [len(s) for s in sets], [find(i) for i in range(len(texts))]
 
 
+def test_near_dedup_without_ids(spark):
+    """Rows without an id go beside a copy that has one; among themselves one text of a component stays."""
+    import corpus_pipeline
+    from helixframe.llm import op03_near_dedup as op
+
+    rng = random.Random(9)
+    a, b, c = (words(rng, 80) for _ in range(3))
+    rows = [(7, a), (None, a), (None, a + " end"), (None, b), (None, b + " end"), (None, "start " + b), (None, c), (None, ""), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"], r["kept"], r["n_shingles"]) for r in op.near_dedup(docs).collect()]
+    assert sorted(k for _, comp, k, n in got if comp == 7) == [False, False, True]
+    assert sorted(k for _, comp, k, n in got if comp is None and n) == [False, False, True, True]
+    assert all(k for _, _, k, n in got if not n)
+    left = [tuple(r) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert [i for i, t in left if t in (a, a + " end")] == [7]
+    assert sum(1 for _, t in left if t and b in t) == 1 and (None, c) in left
+
+
 @pytest.mark.parametrize("n", [4, 5])
 def test_near_dedup(spark, corpus, n, monkeypatch):
     from helixframe.llm import op03_near_dedup as op
