@@ -38,6 +38,7 @@ _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
+_RAW_END = {tag: re.compile(f"</{tag}", re.I | re.A) for tag in _RAW}
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
 _DROP = frozenset("head nav footer aside form script style noscript iframe svg template button select option textarea input object embed canvas audio video map dialog menu title noembed noframes xmp".split())
 _HEADER = "header"
@@ -94,7 +95,6 @@ def parse(source: str) -> tuple[Node, list[Node]]:
     """The tree, and its block elements."""
     root = Node("#", False, 0, False)
     stack, blocks, at, n = [root], [], 0, len(source)
-    lowered = None
 
     def close(k: int, end: int) -> None:
         while len(stack) > k:
@@ -143,9 +143,8 @@ def parse(source: str) -> tuple[Node, list[Node]]:
             node.end = at
             continue
         if tag in _RAW:
-            lowered = lowered if lowered is not None else source.lower()
-            end = lowered.find(f"</{tag}", at)
-            stop = n if end < 0 else end
+            end = _RAW_END[tag].search(source, at)
+            stop = end.start() if end else n
             node.parts.append(source[at:stop] if tag not in ("script", "style") else "")
             after = source.find(">", stop)
             at = n if after < 0 else after + 1

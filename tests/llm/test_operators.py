@@ -302,6 +302,14 @@ def test_line_dedup(spark):
     assert line_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_html_raw_end_after_growing_capitals():
+    """U+0130 is two characters in lower case; the end of a raw element is found where it stands."""
+    from helixframe.llm.op09_html_extraction import parse, text_of
+
+    page = "<p>" + "İ" * 20 + "</p><SCRIPT>x()</Script><p>kept</p><p>too</p>"
+    assert text_of(parse(page)[0]) == "İ" * 20 + " kept too"
+
+
 def test_html_extraction(spark):
     from helixframe.llm.op09_html_extraction import extract, parse, text_of
 
