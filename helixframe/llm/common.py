@@ -21,6 +21,26 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{src}`").alias(dst) for dst, src in columns.items()])
 
 
+class Scratch:
+    """Intermediate tables of one operator call; ``clear`` deletes them once its result is written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        out = materialise(df, name)
+        self.tables.append(out)
+        return out
+
+    def adopt(self, df: DataFrame) -> DataFrame:
+        self.tables.append(df)
+        return df
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables.clear()
+
+
 def components(edges: DataFrame, name: str = "cc", max_rounds: int = 200) -> DataFrame:
     """Connected components of undirected edges (u, v): rows (node, label), label = smallest node of the component.
 

@@ -151,6 +151,50 @@ def test_near_dedup(spark, corpus, n, monkeypatch):
     assert op.near_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_near_dedup_every_tier(spark, monkeypatch):
+    """One round only, tiny blocks: rare shingles and the comparison in blocks have to find the rest."""
+    from helixframe.llm import op03_near_dedup as op
+
+    rng = random.Random(12)
+    texts = []
+    for _ in range(4):
+        base = words(rng, 60).split()
+        shared = words(rng, 20)
+        for _ in range(25):
+            t = list(base)
+            for _ in range(rng.randint(1, 4)):
+                t[rng.randrange(60)] = words(rng, 1)
+            texts.append(" ".join(t[: rng.randint(45, 60)]) + " " + shared)
+    monkeypatch.setattr(op, "ROUNDS", 1)
+    monkeypatch.setattr(op, "BLOCK", 4)
+    # tiers are entered whatever the first leaves: every pair has to come out
+    got = sorted(op.near_dedup(docs_of(spark, texts), words=4).collect(), key=lambda r: r["doc_id"])
+    assert [r["component_id"] for r in got] == brute_components(texts, 4)[1]
+
+
+def test_near_dedup_compares_in_proportion(spark, monkeypatch):
+    """Rows compared grow with the texts of a group of copies, not with their square."""
+    from helixframe.llm import op03_near_dedup as op
+
+    seen, plain = [], op.by_group
+    monkeypatch.setattr(op, "by_group", lambda df, *rest: (seen.append(df.count()), plain(df, *rest))[1])
+    rng = random.Random(13)
+    base = words(rng, 80).split()
+
+    def rows(n):
+        texts = []
+        for _ in range(n):
+            t = list(base)
+            for _ in range(rng.randint(0, 8)):
+                t[rng.randrange(80)] = words(rng, 1)
+            texts.append(" ".join(t))
+        seen.clear()
+        op.near_dedup(docs_of(spark, texts), words=4).count()
+        return sum(seen)
+
+    assert rows(900) < 4.5 * rows(300)
+
+
 def test_toxicity(spark):
     from helixframe.llm.op04_toxicity import _scan, learn, score_texts, toxicity
 
