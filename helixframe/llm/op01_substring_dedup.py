@@ -4,16 +4,20 @@ A gear rolling hash over the last 32 bytes decides where a chunk ends, so a boun
 an insertion shifts no boundary beyond them. Ends fall on white space (one in ``EVERY_SPACE`` of them), and, for
 text without any, on one character in ``EVERY_BYTE``; no chunk is longer than ``MOST_BYTES``. Chunks are compared by a 96-bit digest of their bytes.
 
-The smallest doc_id that has a chunk owns it. In other documents, and on later places of the same document, the chunk is
-a copy; a run of neighbouring copies of at least ``MIN_RUN`` bytes is removed, shorter ones are left: a passage of fifty
-words loses at most part of a chunk at either end.
-
-Each document sends each of its digests once; owners are reduced before the shuffle, and the occurrences of a very common
-chunk are only streamed past its one row in a join of two plain exchanges, which adaptive execution splits. What comes
-back to a document is at most its own chunks.
-
-Defined cases: null stays null, empty stays empty; a null doc_id owns nothing and gives up what others own; rows with equal
-doc_id own alike and so keep what they share; an empty table gives an empty result; other columns are untouched.
+The smallest document that has a chunk owns it, in the order (doc_id, hash of the text), those without an id last. In other
+documents, and on later places of the same document, the chunk is a copy; a run of neighbouring copies of at least
+``MIN_WORDS`` words, or ``MIN_BYTES`` bytes where few spaces stand, is removed, and a text of ``WHOLE_BYTES`` bytes or more that is a
+copy as a whole; shorter runs are left: a passage of fifty words loses at most part of a chunk at either end. The sum of both digests is 96 bits, so among 10^12 different chunks a false
+equality has a chance of about 10^-5.
+
+Each document sends each of its digests once; these rows are written once, owners are reduced before the shuffle, and the
+occurrences of a very common chunk are only streamed past its one row in a join of two plain exchanges, which adaptive
+execution splits. What comes back to a document is at most its own chunks.
+
+Defined cases: null stays null, empty stays empty; rows with equal doc_id and equal text are one document, all rows of which
+get its result; rows with equal doc_id (or none) and different texts are different documents; a text of one word over and over
+has few content-defined ends and is cut every ``MOST_BYTES`` bytes; an empty table gives an empty result; other columns are
+untouched. The written table of copies stays for the lazy result, the others are deleted.
 """
 
 from __future__ import annotations
@@ -27,12 +31,13 @@ from pyspark.sql import functions as F
 
 from helixframe.session import ship
 
-from .common import materialise, schema_with, table
+from .common import Scratch, materialise, schema_with, table
 from .words import mix
 
-EVERY_SPACE, EVERY_BYTE = 5, 256
+EVERY_SPACE, EVERY_BYTE = 4, 256
 MOST_BYTES = 512
-MIN_RUN = 60
+MIN_WORDS, MIN_BYTES = 35, 512
+WHOLE_BYTES = 60
 WINDOW = 32
 SHARD_BYTES = 4 << 20
 
@@ -125,35 +130,40 @@ def _bytes(x) -> bytes:
     return x.encode("utf-8", "surrogatepass") if isinstance(x, str) else b""
 
 
-def copied_spans(ends: np.ndarray, copied: np.ndarray, min_run: int) -> list[tuple[int, int]]:
-    """Byte spans of runs of copied chunks of at least ``min_run`` bytes."""
+def copied_spans(text: bytes, ends: np.ndarray, copied: np.ndarray, min_words: int, min_bytes: int) -> list[tuple[int, int]]:
+    """Byte spans of the runs of copied chunks that are long enough."""
     edges = np.diff(np.concatenate(([0], copied.astype(np.int8), [0])))
     starts = np.concatenate(([0], ends))
-    a, b = starts[np.flatnonzero(edges == 1)], starts[np.flatnonzero(edges == -1)]
-    good = b - a >= min_run
-    return list(zip(a[good].tolist(), b[good].tolist(), strict=True))
+    runs = zip(starts[np.flatnonzero(edges == 1)].tolist(), starts[np.flatnonzero(edges == -1)].tolist(), strict=True)
+    return [(a, b) for a, b in runs if b - a >= min_bytes or len(text[a:b].split()) >= min_words or b - a == len(text) >= WHOLE_BYTES]
 
 
-def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_run: int = MIN_RUN) -> DataFrame:
+def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, min_bytes: int = MIN_BYTES) -> DataFrame:
     """The columns of ``docs`` but the text in struct ``row``, with struct ``dedup``: text, n_chunks, spans (bytes) removed."""
     spark = docs.sparkSession
     ship(spark)
-    slim = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    keep = Scratch()
+    t = F.col(f"`{text}`")
+    slim = docs.select(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(t).alias("h0"), t.alias("text"))
     kind = slim.schema["id"].dataType.simpleString()
 
     def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            ids = b["id"].to_numpy()
             for a in range(0, len(b), 512):
-                found = [(ids[a + i], k, h1[k], h2[k]) for i, (_, h1, h2) in enumerate(_each([_bytes(x) for x in b["text"].iloc[a : a + 512]])) for k in [_firsts(h1)] if len(k)]
+                part = b.iloc[a : a + 512]
+                found = [(i, k, h1[k], h2[k]) for i, (_, h1, h2) in enumerate(_each([_bytes(x) for x in part["text"]])) for k in [_firsts(h1)] if len(k)]
                 if found:
-                    yield pd.DataFrame({"id": np.repeat([x[0] for x in found], [len(x[1]) for x in found]), "k": np.concatenate([x[1] for x in found]).astype(np.int32), "h1": np.concatenate([x[2] for x in found]), "h2": np.concatenate([x[3] for x in found]).astype(np.int32)})
-
-    places = slim.where("text <> ''").mapInPandas(send, f"id {kind}, k int, h1 bigint, h2 int")
-    owners = places.groupBy("h1", "h2").agg(F.min("id").alias("owner"), F.count("*").alias("n")).where("n > 1").drop("n")
-    owners = materialise(owners, "chunks-owners")
-    copies = places.join(owners, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("owner"))).groupBy("id").agg(F.collect_set("k").alias("copies"))
-    copies = materialise(copies.select(F.col("id").alias("id_"), "copies"), "chunks-copies")
+                    of = part[["id", "h0"]].iloc[np.repeat([x[0] for x in found], [len(x[1]) for x in found])].reset_index(drop=True)
+                    yield of.assign(k=np.concatenate([x[1] for x in found]).astype(np.int32), h1=np.concatenate([x[2] for x in found]), h2=np.concatenate([x[3] for x in found]).astype(np.int32))
+
+    places = keep.write(slim.where("text <> ''").mapInPandas(send, f"id {kind}, h0 bigint, k int, h1 bigint, h2 int"), "chunks-places")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h0")).alias("owner")
+    # a chunk of one document alone has no copies, however many rows repeat that document
+    owners = places.groupBy("h1", "h2").agg(first, F.max(F.struct(F.col("id").isNull().alias("none"), "id", "h0")).alias("last")).where(~F.col("owner").eqNullSafe(F.col("last")))
+    owners = keep.write(owners.select("h1", "h2", F.col("owner.id").alias("owner"), F.col("owner.h0").alias("own0")), "chunks-owners")
+    others = places.join(owners, ["h1", "h2"]).where(~(F.col("id").eqNullSafe(F.col("owner")) & (F.col("h0") == F.col("own0"))))
+    copies = materialise(others.groupBy(F.col("id").alias("id_"), F.col("h0").alias("h0_")).agg(F.collect_set("k").alias("copies")), "chunks-copies")
+    keep.clear()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -168,7 +178,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                     if mine is not None and len(mine):
                         gone = np.unique(h1[np.asarray(mine, np.int64)])
                         copied |= np.isin(h1, gone)
-                    spans = copied_spans(ends, copied, min_run)
+                    spans = copied_spans(t, ends, copied, min_words, min_bytes)
                 if spans:
                     parts, last = [], 0
                     for s, e in spans:
@@ -179,8 +189,8 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pd.DataFrame({"row": b["row"], "dedup": out})
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
-    whole = docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").alias("text_"))
-    both = whole.join(copies, F.col("id").eqNullSafe(F.col("id_")), "left").select("row", "text_", "copies")
+    whole = docs.select(row.alias("row"), F.col(f"`{doc_id}`").alias("id"), F.xxhash64(t).alias("h0"), t.alias("text_"))
+    both = whole.join(copies, F.col("id").eqNullSafe(F.col("id_")) & (F.col("h0") == F.col("h0_")), "left").select("row", "text_", "copies")
     return both.mapInPandas(cut, schema_with(both, "row", dedup="struct<text:string,n_chunks:bigint,spans:array<struct<start:bigint,end:bigint>>>"))
 
 

@@ -61,6 +61,60 @@ def test_substring_dedup(spark, corpus):
     assert substring_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_substring_dedup_brute(spark, corpus):
+    """Against chunks compared as bytes: spans are what the first document of each chunk leaves to it, and passages go."""
+    from helixframe.llm.op01_substring_dedup import MIN_BYTES, MIN_WORDS, WHOLE_BYTES, chunks, substring_dedup
+
+    rng = random.Random(21)
+    passages = [words(rng, 60) for _ in range(6)]
+    texts = [" ".join([words(rng, rng.randint(0, 60)), *rng.sample(passages, rng.randint(0, 3)), words(rng, rng.randint(0, 60))]) for _ in range(60)]
+    long = words(rng, 6000)
+    texts += [*corpus, long, "start " + long, "word " * 400, "x" * 3000]
+    got = {r["row"]["doc_id"]: r["dedup"] for r in substring_dedup(docs_of(spark, texts)).collect()}
+    owner = {}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        ends = chunks([raw])[0][0].tolist() if raw else []
+        copied = []
+        for a, b in zip([0, *ends], ends, strict=False):
+            copied.append(owner.get(raw[a:b], i) != i or (owner.setdefault(raw[a:b], i) == i and raw[a:b] in {raw[x:y] for x, y in zip([0, *ends], ends, strict=False) if y <= a}))
+        spans = []
+        for same, group in itertools.groupby(range(len(ends)), key=copied.__getitem__):
+            g = list(group)
+            a, b = ([0, *ends][g[0]], ends[g[-1]])
+            if same and (b - a >= MIN_BYTES or len(raw[a:b].split()) >= MIN_WORDS or (a == 0 and b == len(raw) >= WHOLE_BYTES)):
+                spans.append((a, b))
+        assert [(s["start"], s["end"]) for s in got[i]["spans"]] == spans, i
+        left = raw
+        for a, b in reversed(spans):
+            left = left[:a] + left[b:]
+        assert got[i]["text"] == (None if t is None else left.decode())
+    seen = set()
+    for i in range(60):  # a passage that an earlier text has is gone but for its edges
+        for p in passages:
+            if p in texts[i]:
+                if p in seen:
+                    assert " ".join(p.split()[20:40]) not in got[i]["text"]
+                seen.add(p)
+
+
+def test_substring_dedup_equal_ids(spark):
+    """Equal or missing ids do not make different texts one document; equal rows are one."""
+    from helixframe.llm.op01_substring_dedup import substring_dedup
+
+    rng = random.Random(22)
+    p, q = words(rng, 80), words(rng, 80)
+    unique = [words(rng, 300), words(rng, 3)]
+    for some in (2, None):
+        rows = [(1, p + " " + words(rng, 5)), (some, unique[0]), (some, unique[1] + " " + p), (some, unique[1] + " " + p), (None, q), (None, q + " tail")]
+        got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        texts = sorted((r["row"]["doc_id"] or 0, r["dedup"]["text"]) for r in got)
+        assert len(texts) == 6 and (1, rows[0][1]) in texts and (some or 0, unique[0]) in texts
+        short = [t for _, t in texts if t.startswith(unique[1])]
+        assert len(short) == 2 and len(set(short)) == 1 and len(short[0]) < len(unique[1]) + 150
+        assert sum(q in t for _, t in texts) == 1
+
+
 def brute_decontamination(texts, items, window=10):
     read = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
     out = []
