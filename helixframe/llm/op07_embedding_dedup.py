@@ -1,7 +1,7 @@
 """Embedding near-dedup by product quantisation with coarse inverted lists.
 
-Vectors are normalised; equal vectors of a label are one class with a weight from here on. Coarse centroids (spherical
-k-means) and residual subspace codebooks are fitted on a bounded sample (``SAMPLE_ROWS`` classes by hash order); the number of
+Vectors are scaled by their largest component, so that no square over- or underflows, and then normalised; equal vectors of a
+label are one class with a weight from here on. Coarse centroids (k-means of the unit vectors) and residual subspace codebooks are fitted on a bounded sample (``SAMPLE_ROWS`` classes by hash order); the number of
 lists grows with the table. Every class is coded and stands in the list of its nearest centroid.
 
 A class probes the lists whose bisecting plane with its own list is no farther than the radius of the similarity: any
@@ -15,7 +15,7 @@ each query's number of links and the spanning links of its local components, nev
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components, and rows with a null label, link
 with nothing and are kept; vectors of different length are not compared; equal vectors are linked; repeated rows (equal
-ids) count as separate vectors; an empty table gives an empty result; other columns are left out.
+ids) count as separate vectors; finite vectors of any size are compared by direction alone; an empty table gives an empty result; other columns are left out.
 """
 
 from __future__ import annotations
@@ -49,6 +49,13 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     return c
 
 
+def units(e) -> np.ndarray:
+    """The vectors at length one, whatever their size: from the smallest to the largest doubles."""
+    x = np.stack(list(e)).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Quantiser:
     """Coarse centroids and residual codebooks for one length of vectors."""
 
@@ -124,8 +131,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
     fitted = {}
     for dim, n, labels in sizes:
         sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("k1"), "k1", "k2").limit(SAMPLE_ROWS).select("e").toPandas()
-        x = np.stack(sample["e"].to_list()).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = units(sample["e"])
         fitted[dim] = Quantiser(x, max(1, min(MOST_LISTS, -(-n // (labels * LIST_ROWS)), len(x))))
     sent = spark.sparkContext.broadcast(fitted)  # bounded by SAMPLE_ROWS and MOST_LISTS
     radius = float(np.sqrt(2 - 2 * similarity))
@@ -136,8 +142,7 @@ def near_vectors(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "e
                 q = sent.value[dim]
                 for a in range(0, len(g), 1024):
                     p = g.iloc[a : a + 1024]
-                    x = np.stack(p["e"].to_list()).astype(np.float64)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
+                    x = units(p["e"])
                     home, codes, miss = q.code(x)
                     yield pd.DataFrame({"node": p["node"].to_numpy(), "w": p["w"].to_numpy(), "label": p["label"].to_numpy(), "dim": dim, "home": home, "vec": [v.tobytes() for v in x], "code": [c.tobytes() for c in codes], "miss": miss, "probes": [t.tolist() for t in q.probes(x, home, radius)]})
 

@@ -349,6 +349,17 @@ def test_embedding_dedup(spark, monkeypatch):
     assert got[500]["component_id"] == got[501]["component_id"] == got[0]["component_id"]
 
 
+def test_embedding_dedup_extreme_sizes(spark):
+    """Finite vectors from 1e-320 to 1e300 link by direction, and take no other link away; empty tables are empty."""
+    from helixframe.llm.op07_embedding_dedup import near_vectors
+
+    rows = [(1, [1.0, 1.0]), (2, [3.0, 3.0]), (3, [1e-200, 1e-200]), (4, [1e200, 1e200]), (5, [1e-320, 1e-320]), (6, [1e300, -1e300]), (7, [1e-300, -1e-300]), (8, [5e-324, 0.0]), (8, [1.0, 0.0])]
+    df = spark.createDataFrame([(i, e, 0) for i, e in rows], "vec_id long, embedding array<double>, label int")
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_vectors(df).collect())
+    assert got == [(1, 4, 1), (2, 4, 1), (3, 4, 1), (4, 4, 1), (5, 4, 1), (6, 1, 6), (7, 1, 6), (8, 1, 8), (8, 1, 8)]
+    assert near_vectors(df.limit(0)).count() == 0
+
+
 def test_embedding_dedup_dense_group(spark, monkeypatch):
     """A third of the rows are near copies of one another over more than 48 lists: every link is found."""
     from helixframe.llm import op07_embedding_dedup as op
