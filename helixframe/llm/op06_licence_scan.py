@@ -3,8 +3,8 @@
 A text's canonical form is lower case; lines that state a copyright and nothing but rights reserved are dropped; all but
 letters and digits become single spaces; equivalent spellings are levelled. Its SHA-256 is joined to the digests of known
 licences in canonical form, with and without their title line. Each line's canonical form is looked up likewise among
-known one-line notices. Both lists are fixed and short, so the joins are broadcast; any longer list of known digests joins by
-shuffle on the digest alone, of which a text has one.
+known one-line notices. The built-in list is fixed and short, so its join is broadcast and no document is shuffled; a list given
+as ``known`` joins as its size demands.
 
 Defined cases: null or empty text has the digest of the empty text, which no licence has; equal texts get equal results; an
 empty table gives an empty result; other columns are untouched.
@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table
-from .licences import NOTICES, SPELLINGS, TEXTS
+from .licences import DIGESTS, NOTICES, SPELLINGS, TEXTS
 
-#: A line that only states a copyright, or that rights are reserved; Java and RE2 read both patterns alike.
-COPYRIGHT = r"(?m)^[^\na-z0-9]*(copyright|\(c\)|©)[^\n]*$"
+#: A line that only states a copyright, or that rights are reserved; Java and RE2 read both patterns alike. The word alone does
+#: not make one: where a licence is wrapped, its lines may begin with "copyright notice" or with an item "(c)".
+COPYRIGHT = r"(?m)^[^\na-z0-9]*(copyright([^\na-z]*(\(c\)|©|<|\[)|[^\n]*(19|20)[0-9][0-9])|\(c\)[^\na-z]*[0-9]|©)[^\n]*$"
 RESERVED = r"(?m)^[^\na-z0-9]*all rights reserved[^\na-z0-9]*$"
 OTHER = r"[^\na-z0-9\x{80}-\x{10FFFF}]+"
 
@@ -46,12 +47,11 @@ def licence_scan(docs: DataFrame, known: DataFrame | None = None, text: str = "t
 
     ``known``: (licence_id, text) in place of the built-in texts.
     """
-    spark = docs.sparkSession
     if known is None:
-        full = [(k, v) for k, v in TEXTS.items()] + [(k, v.partition("\n")[2]) for k, v in TEXTS.items()] + [(k, v) for k, v in NOTICES.items()]
-        known = spark.createDataFrame(full, "licence_id string, text string")
-    digest = F.sha2(squeeze(canonical(F.col("text"))), 256)
-    known = known.select(digest.alias("digest"), "licence_id").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
+        known = F.broadcast(docs.sparkSession.createDataFrame([(d, k) for d, k in built_in().items()], "digest string, licence_id string"))
+    else:
+        digest = F.sha2(squeeze(canonical(F.col("text"))), 256)
+        known = known.select(digest.alias("digest"), "licence_id").groupBy("digest").agg(F.min("licence_id").alias("licence_id"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text])
     form = docs.select(row.alias("row"), canonical(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("form"))
     notices = {squeezed(v): k for k, v in NOTICES.items()}
@@ -76,6 +76,15 @@ def squeezed(text: str) -> str:
     return re.sub(r"[ \n]+", " ", t).strip(" ")
 
 
+def built_in() -> dict[str, str]:
+    """Digest to licence id: whole texts with and without their title line, notices, and the digests of the long licences."""
+    out: dict[str, str] = {}
+    for k, v in [*TEXTS.items(), *((k, v.partition("\n")[2]) for k, v in TEXTS.items()), *NOTICES.items()]:
+        d = hashlib.sha256(squeezed(v).encode()).hexdigest()
+        out[d] = min(k, out.get(d, k))
+    return out | {d: k for k, ds in DIGESTS.items() for d in ds}
+
+
 def op6_licence_scan(spark, sf_dir: str) -> DataFrame:
     out = licence_scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("row.doc_id", "digest", "licence_id", F.array_join("notices", ",").alias("notices"))
@@ -91,12 +100,8 @@ def _sql() -> str:
     form = f"regexp_replace({form}, {quoted(OTHER)}, ' ', 'g')"
     for a, b in SPELLINGS:
         form = f"replace({form}, {quoted(a)}, {quoted(b)})"
-    known: dict[str, str] = {}
-    for k, v in [*TEXTS.items(), *((k, v.partition("\n")[2]) for k, v in TEXTS.items()), *NOTICES.items()]:
-        d = hashlib.sha256(squeezed(v).encode()).hexdigest()
-        known[d] = min(k, known.get(d, k))
     return f"""
-WITH known(digest, licence_id) AS (VALUES {", ".join(f"({quoted(d)}, {quoted(k)})" for d, k in known.items())}),
+WITH known(digest, licence_id) AS (VALUES {", ".join(f"({quoted(d)}, {quoted(k)})" for d, k in built_in().items())}),
 notice(line, id) AS (VALUES {", ".join(f"({quoted(squeezed(v))}, {quoted(k)})" for k, v in NOTICES.items())}),
 form AS (SELECT doc_id, {form} AS form FROM documents),
 lines AS (SELECT DISTINCT doc_id, trim(regexp_replace(line, '[ \\n]+', ' ', 'g'), ' ') AS line FROM (SELECT doc_id, unnest(string_split(form, chr(10))) AS line FROM form)),

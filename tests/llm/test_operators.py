@@ -324,6 +324,30 @@ def test_licence_scan(spark):
     assert got[5]["notices"] == ["MIT"] and got[3]["digest"] == hashlib.sha256(b"").hexdigest()
 
 
+def test_licence_texts(spark):
+    """Every known licence, re-wrapped, in other case and under a copyright line; long ones where the box has their texts."""
+    import textwrap
+    from pathlib import Path
+
+    from helixframe.llm.licences import TEXTS
+    from helixframe.llm.op06_licence_scan import licence_scan
+
+    want, texts = [], []
+    for k, v in TEXTS.items():
+        want += [k, k]
+        texts += ["Copyright (c) 2020 Someone\n\n" + textwrap.fill(v.partition("\n")[2], 60), v.upper()]
+    for k, f in (("Apache-2.0", "Apache-2.0"), ("GPL-3.0", "GPL-3"), ("GPL-2.0", "GPL-2"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        p = Path("/usr/share/common-licenses") / f
+        if p.exists():
+            want.append(k)
+            texts.append(p.read_text().replace("\n", "\r\n"))
+    got = sorted((r["row"]["doc_id"], r["licence_id"]) for r in licence_scan(docs_of(spark, texts)).collect())
+    assert [k for _, k in got] == want
+    assert licence_scan(docs_of(spark, [])).count() == 0
+    plan = licence_scan(docs_of(spark, texts))._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
 def test_embedding_dedup(spark, monkeypatch):
     from helixframe.llm import op07_embedding_dedup as op
 
