@@ -1,15 +1,23 @@
 """Main text of HTML pages: site templates found by counting element subtrees per host, then removed.
 
-Pass one hashes every block element's subtree of every page and counts in Spark, for each host, on how many pages it
-stands. A subtree that recurs on many of a host's pages is template. Pass two drops template subtrees, elements that
-are by their tag, role, class or id not part of an article (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments), keeps the article element, else main, else the body, and writes out the text.
+Pass one hashes every block element's subtree of every page, bottom-up from its children's hashes, and counts in Spark, for
+each host, on how many pages it stands. A subtree that recurs on many of a host's pages is template. Pass two drops template
+subtrees and, outside the article, elements that are by their tag, role, class or id not part of one (menus, headers,
+footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), keeps the article element, else main, else the
+body, and writes out the text.
+
+Inside the article the counts decide: names that occur in prose as well (search, copyright, responses) remove an element only
+if elements opened alike stand on most pages of the host. Only a whole class, id or role that says advert or comments (``_SURE``)
+needs no counting there.
 
 A subtree outside the article counts as template from ``OUTSIDE`` of the host's pages on, one inside from ``INSIDE``, at
 ``LEAST_PAGES`` pages or more in both cases: copies of one article on a few pages are no template.
 
-Counts are reduced before the shuffle, so a host with a third of all pages is no hot key. The template hashes go to the
-workers while they are at most ``BROADCAST_ROWS``, counted first; beyond that they are joined to the subtrees' rows.
+Counts are reduced before the shuffle, so a host with a third of all pages is no hot key. A host's templates are one row of
+bounded size (a page of b blocks has at most b / OUTSIDE templates to share), which is joined to its pages.
+
+Parsing takes time in proportion to the page: one forward pass; after the first quoted value that never ends, quotes are plain
+characters; elements deeper than ``DEPTH`` become siblings.
 
 Defined cases: null or empty html has the empty text; a page without the elements named is read from its body; broken and
 unclosed markup is closed where HTML would close it; a null url is a host of its own; repeated rows are separate rows but
@@ -20,21 +28,25 @@ from __future__ import annotations
 
 import html as html_
 import re
+import struct
 from collections.abc import Iterator
 
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.session import ship
 
-from .common import materialise, schema_with, table
+from .common import Scratch, materialise, schema_with, table
 
 OUTSIDE, INSIDE, LEAST_PAGES = 0.2, 0.6, 5
-BROADCAST_ROWS = 500_000
+#: Elements deeper than this are siblings of the last that is not.
+DEPTH = 512
 
-_TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r">|=\s*[\"']")
+_COMMENT_END = re.compile(r"--!?>")
 _ATTR = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe noembed noframes xmp template svg".split())
@@ -67,67 +79,104 @@ _MARKS = frozenset(
 _COMPOUND = re.compile(r"side-?bar|comment|advert|cookie|newsletter|breadcrumb|share-?(?:bar|button|link)|nav-?bar|site-?(?:header|footer|nav)|page-?(?:header|footer)|global-?(?:header|footer)|social-?(?:media|link|share)|skip-?link|(?:^|\s)(?:ad|ads)-|-(?:ad|ads)(?:\s|$)")
 
 
+#: What is an advert or reader comments wherever it stands, as a whole class, id or role.
+_SURE = frozenset("ad ads advert advertisement comments commentlist comment-list reader-comments".split())
+
+
 class Node:
-    __slots__ = ("tag", "drop", "parts", "start", "end", "inside")
+    """An element; ``drop``: not wanted, ``maybe``: named like what is not wanted, inside an article."""
 
-    def __init__(self, tag: str, drop: bool, start: int, inside: bool):
-        self.tag, self.drop, self.start, self.end, self.inside = tag, drop, start, -1, inside
+    __slots__ = ("tag", "drop", "maybe", "parts", "head", "inside", "hash")
+
+    def __init__(self, tag: str, head: str, inside: bool):
+        self.tag, self.head, self.inside, self.drop, self.maybe, self.hash = tag, head, inside, False, False, 0
         self.parts: list = []
 
 
-def _marked(tag: str, attrs: str, inside: bool) -> bool:
+def _judge(node: Node, attrs: str) -> None:
+    tag, inside = node.tag, node.inside
     if tag in _DROP:
-        return True
+        node.drop = True
+        return
     found = {}
-    for m in _ATTR.finditer(attrs):
+    for m in _ATTR.finditer(attrs) if attrs else ():
         found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "").lower()):
-        return True
-    if tag in ("html", "body", "main") or tag == "article" and not inside:
-        return False
-    if tag == _HEADER and not inside:
-        return True
-    names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
-    return bool(names) and (not _MARKS.isdisjoint(_SPLIT.split(names)) or bool(_COMPOUND.search(names)))
+        node.drop = True
+    elif not (tag in ("html", "body", "main") or tag == "article" and not inside):
+        names = " ".join(found.get(k, "") for k in ("class", "id", "role")).lower()
+        named = bool(names) and (not _MARKS.isdisjoint(_SPLIT.split(names)) or bool(_COMPOUND.search(names)))
+        if inside:
+            node.drop, node.maybe = not _SURE.isdisjoint(names.split()), named
+        else:
+            node.drop = named or tag == _HEADER
 
 
 def parse(source: str) -> tuple[Node, list[Node]]:
     """The tree, and its block elements."""
-    root = Node("#", False, 0, False)
+    root = Node("#", "", False)
     stack, blocks, at, n = [root], [], 0, len(source)
+    last, quotes = source.rfind(">"), True
+    opened: dict[str, int] = {}  # elements on the stack, and those too deep for it, by tag
+    deep: dict[str, int] = {}
 
-    def close(k: int, end: int) -> None:
+    def close(k: int) -> None:
         while len(stack) > k:
-            stack.pop().end = end
+            opened[stack.pop().tag] -= 1
 
     while at < n:
-        m = _TOKEN.search(source, at)
-        if not m:
+        lt = source.find("<", at)
+        if lt < 0 or lt > last and not source.startswith("<!--", lt):
             stack[-1].parts.append(source[at:])
             break
-        if m.start() > at:
-            stack[-1].parts.append(source[at : m.start()])
-        at = m.end()
-        name = m[2] or m[5]
-        if not name:
+        if lt > at:
+            stack[-1].parts.append(source[at:lt])
+        m = _NAME.match(source, lt)
+        if not m:
+            if source.startswith("<!--", lt):
+                end = _COMMENT_END.search(source, lt + 4)
+                at = end.end() if end else n
+            elif source[lt + 1 : lt + 2] in ("!", "?", "/"):
+                at = source.index(">", lt) + 1
+            else:
+                stack[-1].parts.append("<")
+                at = lt + 1
             continue
-        tag, ending, attrs = name.lower(), (m[1] if m[2] else m[4]) == "/", (m[3] if m[2] else m[6]) or ""
+        gt = m.end()
+        while True:
+            stop = _STOP.search(source, gt) if quotes else None
+            if quotes and stop and stop[0] != ">":
+                gt = source.find(stop[0][-1], stop.end()) + 1
+                if gt:
+                    continue
+                stop = None
+            if quotes and not stop:
+                quotes = False
+            break
+        gt = stop.start() if quotes else source.find(">", m.end())
+        if gt < 0:
+            stack[-1].parts.append(source[lt:])
+            break
+        at, ending, tag, attrs = gt + 1, m[1], m[2].lower(), source[m.end() : gt]
         if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    close(k, at)
-                    break
-            else:
-                if tag == "p":
-                    stack[-1].parts.append(" ")
+            if deep.get(tag):
+                deep[tag] -= 1
+                stack[-1].parts.append("" if tag in _INLINE else " ")
+            elif opened.get(tag):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == tag:
+                        close(k)
+                        break
+            elif tag == "p":
+                stack[-1].parts.append(" ")
             continue
         closes, until = _CLOSES.get(tag, (None, None))
         if tag in _ENDS_P and tag != "p":
             closes, until = _CLOSES["p"]
-        if closes:
+        if closes and any(opened.get(x) for x in closes):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in closes:
-                    close(k, m.start())
+                    close(k)
                     if tag not in ("tr", "td", "th"):
                         break
                 elif stack[k].tag in until:
@@ -136,30 +185,48 @@ def parse(source: str) -> tuple[Node, list[Node]]:
             stack[-1].parts.append("" if tag in _INLINE else " ")
             continue
         up = stack[-1]
-        inside = up.inside or up.tag in ("article", "main")
-        node = Node(tag, _marked(tag, attrs, inside), m.start(), inside)
+        node = Node(tag, attrs, up.inside or up.tag in ("article", "main"))
+        _judge(node, attrs)
         up.parts.append(node)
         if attrs.endswith("/") and tag in ("svg", "path", "use"):
-            node.end = at
             continue
         if tag in _RAW:
             end = _RAW_END[tag].search(source, at)
-            stop = end.start() if end else n
-            node.parts.append(source[at:stop] if tag not in ("script", "style") else "")
-            after = source.find(">", stop)
+            stop_at = end.start() if end else n
+            node.parts.append(source[at:stop_at] if tag not in ("script", "style") else "")
+            after = source.find(">", stop_at)
             at = n if after < 0 else after + 1
-            node.end = at
             continue
-        stack.append(node)
         if tag not in _INLINE and tag not in ("html", "body"):
             blocks.append(node)
-    close(0, n)
+        if len(stack) > DEPTH:
+            deep[tag] = deep.get(tag, 0) + 1
+            continue
+        stack.append(node)
+        opened[tag] = opened.get(tag, 0) + 1
     return root, blocks
 
 
-def subtree_hashes(source: str, blocks: list[Node]) -> list[int]:
-    """A signed 64-bit hash of each block element's source, white space levelled."""
-    return [xxhash.xxh64_intdigest(re.sub(r"\s+", " ", source[b.start : b.end]).encode("utf-8", "surrogatepass")) - (1 << 63) for b in blocks]
+def hash_subtrees(root: Node) -> None:
+    """Each node's hash, from its opening tag, its texts with white space levelled and its children's hashes."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [p for p in x.parts if isinstance(p, Node)]
+    for x in reversed(order):
+        h = xxhash.xxh64(f"{x.tag} {' '.join(x.head.split())}".encode("utf-8", "surrogatepass"))
+        for p in x.parts:
+            if isinstance(p, Node):
+                h.update(struct.pack("<cq", b"\0", p.hash))
+            else:
+                h.update(b"\1" + " ".join(p.split()).encode("utf-8", "surrogatepass"))
+        x.hash = h.intdigest() - (1 << 63)
+
+
+def opening(node: Node) -> int:
+    """A hash of how an element is opened, whatever it holds."""
+    return xxhash.xxh64_intdigest(f"<{node.tag} {' '.join(node.head.split())}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
 def text_of(root: Node) -> str:
@@ -202,78 +269,61 @@ def _flat(nodes: list[Node]) -> str:
     return " ".join("".join(out).split())
 
 
-def host_of(url: str | None) -> str | None:
-    m = re.match(r"\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#\s]*)", url or "")
-    return m[1].rpartition("@")[2].lower() if m else url
+def host_of(url: Column) -> Column:
+    """The host of a url, lower case; what is no absolute url stands for itself."""
+    pattern = r"^\s*(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#\s]*@)?([^/?#\s@]*)"
+    return F.when(url.rlike(pattern), F.lower(F.regexp_extract(url, pattern, 1))).otherwise(url)
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """The columns of ``pages`` without the html in struct ``row``, and the main ``text``."""
-    spark = pages.sparkSession
-    ship(spark)
-    hashes = pages.select(F.col(f"`{url}`").alias("url"), F.col(f"`{html}`").alias("html"))
+    ship(pages.sparkSession)
+    host = host_of(F.col(f"`{url}`").cast("string")).alias("host")
 
     def subtrees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from collections import Counter
 
         for b in batches:
             seen: Counter = Counter()
-            for u, h in zip(b["url"], b["html"], strict=True):
-                host = host_of(u if isinstance(u, str) else None)
+            for host, h in zip(b["host"], b["html"], strict=True):
+                host = host if isinstance(host, str) else None
                 seen[host, None, False] += 1
                 if isinstance(h, str):
-                    _, blocks = parse(h)
-                    found = {x: node.inside or node.tag in ("article", "main") for x, node in zip(subtree_hashes(h, blocks), blocks, strict=True)}
+                    root, blocks = parse(h)
+                    hash_subtrees(root)
+                    found = {x.hash: x.inside or x.tag in ("article", "main") for x in blocks} | {opening(x): True for x in blocks if x.maybe}
                     seen.update((host, x, inside) for x, inside in found.items())
             yield pd.DataFrame({"host": [k[0] for k in seen], "hash": pd.array([k[1] for k in seen], dtype="Int64"), "inside": [k[2] for k in seen], "n": list(seen.values())})
 
-    counted = hashes.mapInPandas(subtrees, "host string, hash bigint, inside boolean, n bigint").groupBy("host", "hash", "inside").agg(F.sum("n").alias("n"))
-    counted = materialise(counted.where((F.col("n") >= LEAST_PAGES) | F.col("hash").isNull()), "pages-subtrees")
-    totals = materialise(counted.where("hash is null").select(F.col("host").alias("host_"), F.col("n").alias("pages")), "pages-hosts")
+    keep = Scratch()
+    counted = pages.select(host, F.col(f"`{html}`").alias("html")).mapInPandas(subtrees, "host string, hash bigint, inside boolean, n bigint").groupBy("host", "hash", "inside").agg(F.sum("n").alias("n"))
+    counted = keep.write(counted.where((F.col("n") >= LEAST_PAGES) | F.col("hash").isNull()), "pages-subtrees")
+    totals = counted.where("hash is null").select(F.col("host").alias("host_"), F.col("n").alias("pages"))
     recurring = counted.where("hash is not null").join(totals, F.col("host").eqNullSafe(F.col("host_")))
-    recurring = materialise(recurring.where(F.col("n") >= F.col("pages") * F.when(F.col("inside"), INSIDE).otherwise(OUTSIDE)).select("host", "hash").distinct(), "pages-templates")
-    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html])
-    slim = pages.select(row.alias("row"), F.col(f"`{url}`").alias("url_"), F.col(f"`{html}`").alias("html_"))
-    schema = schema_with(slim, "row", text="string")
-    if recurring.count() <= BROADCAST_ROWS:
-        sent = spark.sparkContext.broadcast({tuple(x) for x in recurring.collect()})
+    recurring = recurring.where(F.col("n") >= F.col("pages") * F.when(F.col("inside"), INSIDE).otherwise(OUTSIDE))
+    templates = materialise(recurring.groupBy("host").agg(F.collect_set("hash").alias("templates")).withColumnRenamed("host", "host_"), "pages-templates")
+    keep.clear()
 
-        def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                out = []
-                for u, h in zip(b["url_"], b["html_"], strict=True):
-                    host = host_of(u if isinstance(u, str) else None)
-                    out.append(_main(h, lambda x, host=host: (host, x) in sent.value))
-                yield pd.DataFrame({"row": b["row"], "text": out})
-
-        return slim.mapInPandas(write, schema)
-
-    # too many for the workers: each page's own template hashes come by a join
-    numbered = materialise(slim.withColumn("page_", F.monotonically_increasing_id()), "pages-numbered")
-
-    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(p, host_of(u if isinstance(u, str) else None), x) for p, u, h in zip(b["page_"], b["url_"], b["html_"], strict=True) if isinstance(h, str) for x in set(subtree_hashes(h, parse(h)[1]))]
-            yield pd.DataFrame(rows, columns=["page_", "host", "hash"])
-
-    each = numbered.select("page_", "url_", "html_").mapInPandas(own, "page_ bigint, host string, hash bigint")
-    mine = each.join(recurring.withColumnsRenamed({"host": "host_", "hash": "hash_"}), F.col("host").eqNullSafe(F.col("host_")) & (F.col("hash") == F.col("hash_"))).groupBy("page_").agg(F.collect_set("hash").alias("gone"))
+            own = [set() if t is None else set(t.tolist()) for t in b["templates"]]
+            yield pd.DataFrame({"row": b["row"], "text": [_main(h, t) for h, t in zip(b["html_"], own, strict=True)]})
 
-    def write_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            gone = [set() if x is None else set(x) for x in b["gone"]]
-            yield pd.DataFrame({"row": b["row"], "text": [_main(h, g.__contains__) for h, g in zip(b["html_"], gone, strict=True)]})
-
-    return numbered.join(mine, "page_", "left").select("row", "html_", "gone").mapInPandas(write_own, schema)
+    row = F.struct(*[F.col(f"`{c}`") for c in pages.columns if c != html])
+    slim = pages.select(row.alias("row"), host, F.col(f"`{html}`").alias("html_"))
+    both = slim.join(templates, F.col("host").eqNullSafe(F.col("host_")), "left").select("row", "html_", "templates")
+    return both.mapInPandas(write, schema_with(both, "row", text="string"))
 
 
-def _main(source, template) -> str:
+def _main(source, templates: set[int]) -> str:
     if not isinstance(source, str):
         return ""
     root, blocks = parse(source)
-    for node, x in zip(blocks, subtree_hashes(source, blocks), strict=True):
-        if node.tag not in ("article", "main") and template(x):
-            node.drop = True
+    if templates:
+        hash_subtrees(root)
+        for x in blocks:
+            if x.tag not in ("article", "main") and (x.hash in templates or x.maybe and opening(x) in templates):
+                x.drop = True
     return text_of(root)
 
 

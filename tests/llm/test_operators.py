@@ -458,14 +458,39 @@ def test_html_extraction(spark):
     assert (got[20], got[21], got[22], got[23]) == ("alone", "", "", "We value you. Join our list. kept")
 
 
-def test_template_join_path(spark, monkeypatch):
-    from helixframe.llm import op09_html_extraction as op
+def test_html_names_inside_the_article(spark):
+    """Names that prose has too remove nothing inside an article unless elements opened alike recur on the host."""
+    from helixframe.llm.op09_html_extraction import extract
 
-    rows = [(i, f"http://host.example/{i}", f"<body><main><div>Menu of the day</div><p>Story {i}</p></main></body>") for i in range(12)]
+    def page(i):
+        return f"<body><div class='copyright'>c {i}</div><article><p>Start {i}</p><div class='search-results-analysis'>a {i}</div><p class='copyright-law'>b</p><section class='responses'>c {i}</section><div class='ad'>buy {i}</div><p>End</p></article></body>"
+
+    rows = [(0, "http://one.example/a", page(0))]
+    rows += [(i, f"http://user:x@Many.example:80/{i}", f"<article><p>Story {i}</p><div class='share-this'>tell {i} friends</div>" + ("<div class='notice'>only here</div>" if i == 3 else "") + "</article>") for i in range(1, 11)]
+    rows += [(i, f"http://many.example:80/{i}", f"<article><p>Story {i}</p><div class='share-this'>tell {i} friends</div></article>") for i in (11, 11)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    want = sorted(map(tuple, op.extract(pages).select("row.page_id", "text").collect()))
-    monkeypatch.setattr(op, "BROADCAST_ROWS", -1)
-    assert sorted(map(tuple, op.extract(pages).select("row.page_id", "text").collect())) == want
+    got = {r["row"]["page_id"]: r["text"] for r in extract(pages).collect()}
+    assert got[0] == "Start 0 a 0 b c 0 End"
+    assert [got[i] for i in range(1, 12)] == [f"Story {i}" + (" only here" if i == 3 else "") for i in range(1, 12)]
+    assert extract(pages.limit(0)).count() == 0
+
+
+def test_html_in_proportion():
+    """A megabyte of nesting, of broken quotes, of stray ends: parsed, hashed and written in time in proportion."""
+    import time
+
+    from helixframe.llm.op09_html_extraction import hash_subtrees, parse, text_of
+
+    size = 1 << 20
+    pages = ["<div>" * (size // 5) + "in" + "</div>" * 1000 + "out", "<a '" * (size // 4), "<a b='" * (size // 6) + ">end", "<a b='\">" * (size // 8), "<p><button>" + "<h2>" * (size // 4), "<div>" * 2000 + "</x>" * (size // 4) + "t", "<!--" * (size // 4), "< " * (size // 2), "</p" * (size // 3), "<script>" * (size // 8)]
+    for page in pages:
+        began = time.time()
+        root, _ = parse(page)
+        hash_subtrees(root)
+        text_of(root)
+        assert time.time() - began < 30, page[:20]
+    assert text_of(parse(pages[0])[0]) == "in out"
+    assert text_of(parse("<p title=\"a > b\">x</p><p title='never ends>y</p><p>z")[0]) == "x y z"
 
 
 def test_mixing(spark):
