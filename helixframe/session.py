@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -32,12 +33,14 @@ def builder(app: str = "helixframe") -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """A folder that driver and executors all reach.
 
-    It is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests on one machine) a temporary folder
-    is made and set, once for a SparkContext.
+    It is ``spark.checkpoint.dir`` of the session. Where that is unset, a session on one machine gets a temporary folder, once
+    for a SparkContext; on a cluster, where executors would write to disks that others cannot see, it is an error.
     """
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="helixframe-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -65,8 +68,12 @@ def discard(*tables: DataFrame) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for a SparkContext, for Python stages there."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default: long texts want less
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not getattr(spark, "_helixframe_batches", False):
+        spark._helixframe_batches = True
+        # long texts want less than the default; whoever set a value, the default's included, keeps it
+        if key not in spark.conf.getAll:
+            spark.conf.set(key, str(BATCH_ROWS))
     sc = spark.sparkContext
     if getattr(sc, "_helixframe_shipped", False):
         return
