@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from . import render
@@ -9,6 +10,7 @@ from .operators.matrix import matrix_rows, matrix_shape
 from .queries import _ALIGN_SQL, _REFS, _align_columns, _alignments, _scratch, query
 from .sources import alignments, vep
 from .sources.binary import register
+from .sources.indexes import build_bai
 from .synth import table
 
 _SAMPLES = ["S0", "S1", "S2"]
@@ -33,13 +35,30 @@ def bam_read(spark, d):
     return _align_columns(spark.read.format("bam").option("tags", "NM=i,RG=Z").option("splitBytes", 1 << 20).load(path))
 
 
-@query("SELECT name, count(*) AS n FROM (SELECT 'chr' || (1 + l_orderkey % 3) AS name FROM lineitem) GROUP BY 1")
-def bam_sorted(spark, d):
-    """Sorted on write; the order is kept in the file."""
+def _sorted_bam(spark, d) -> str:
     path = _scratch(spark, ".bam")
-    alignments.write_bam(_alignments(spark, d), path, _REFS, sort=True)
+    alignments.write_bam(_alignments(spark, d), path, _REFS, {"NM": "i"}, sort=True)
+    return path
+
+
+@query("SELECT 'chr' || (1 + l_orderkey % 3) AS name, count(*) AS n, 0::BIGINT AS out_of_order FROM lineitem GROUP BY 1")
+def bam_sorted(spark, d):
+    """Sorted on write: in the file's own order no record stands before one of a smaller start."""
+    register(spark)
+    rows = spark.read.format("bam").option("columns", "chrom,start").option("splitBytes", 1 << 20).load(_sorted_bam(spark, d)).withColumn("at", F.monotonically_increasing_id())
+    w = Window.partitionBy("chrom").orderBy("at")
+    after = rows.withColumn("wrong", (F.lag("start").over(w) > F.col("start")).cast("int"))
+    return after.groupBy(F.col("chrom").alias("name")).agg(F.count("*").alias("n"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("out_of_order"))
+
+
+@query("SELECT l_partkey AS start, l_linenumber AS NM, count(*) AS n FROM lineitem WHERE 1 + l_orderkey % 3 = 2 AND l_partkey BETWEEN 300 AND 900 GROUP BY ALL")
+def bam_region(spark, d):
+    """A region of a sorted file, read by the chunks of its BAI."""
+    path = _sorted_bam(spark, d)
+    build_bai(path)
     register(spark)
-    return spark.read.format("bam").load(path).groupBy(F.col("chrom").alias("name")).agg(F.count("*").alias("n"))
+    v = spark.read.format("bam").option("tags", "NM=i").option("columns", "chrom,start,NM").load(path)
+    return v.where("chrom = 'chr2' and start >= 300 and start <= 900").groupBy("start", "NM").agg(F.count("*").alias("n"))
 
 
 @query("SELECT 'chr' || n_regionkey AS chrom, (n_nationkey * 10)::BIGINT AS start, (n_nationkey * 10 + 10)::BIGINT AS \"end\", n_nationkey::DOUBLE / 2 AS value FROM nation")

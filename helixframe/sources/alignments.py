@@ -5,22 +5,29 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource
+from pyspark.sql.datasource import DataSource, InputPartition
 
 from helixframe.functions.alignment import OPERATIONS
+from helixframe.plans.regions import extract_regions
 
-from . import bgzf
+from . import bgzf, indexes
 from .binary import Range, Reader, option, pruned
 
 #: Fixed value: the 4-bit base codes in order.
 BASES = "=ACMGRSVTWYHKDBN"
 CORE = [("name", "string"), ("chrom", "string"), ("start", "bigint"), ("end", "bigint"), ("flags", "bigint"), ("cigar", "string"), ("mapping_quality", "bigint"), ("mate_chrom", "string"), ("mate_start", "bigint"), ("sequence", "string"), ("quality_scores", "string"), ("template_length", "int")]
-_PAIRS = np.array([BASES[b >> 4] + BASES[b & 15] for b in range(256)])
+_PAIRS = np.frombuffer("".join(BASES[b >> 4] + BASES[b & 15] for b in range(256)).encode(), np.uint8).reshape(256, 2)
+_CONSUMES = np.array([k < len(OPERATIONS) and OPERATIONS[k] in "MDN=X" for k in range(16)])
+_HEAD = np.dtype([("size", "<i4"), ("ref", "<i4"), ("pos", "<i4"), ("l_name", "u1"), ("mapq", "u1"), ("bin", "<u2"), ("n_cigar", "<u2"), ("flag", "<u2"), ("l_seq", "<i4"), ("mate", "<i4"), ("mate_pos", "<i4"), ("tlen", "<i4")])
+#: Decompressed bytes held at a time, and records decoded together.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 8192
 _SCALAR = {"c": "<b", "C": "<B", "s": "<h", "S": "<H", "i": "<i", "I": "<I", "f": "<f"}
 _SPARK = {"A": "string", "Z": "string", "H": "string", "f": "float", "c": "int", "C": "int", "s": "int", "S": "int", "i": "int", "I": "bigint"}
 _ARROW = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "float": pa.float32()}
@@ -92,15 +99,177 @@ def plausible(blocks: bgzf.Blocks, at: int, refs: int, depth: int = 4) -> bool:
     return True
 
 
+def spans(base: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the bytes of all spans one after another, where each begins in them and the last ends)."""
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    return base[np.repeat(starts - ends[:-1], lengths) + np.arange(ends[-1])], ends
+
+
+def strings(data: np.ndarray, ends: np.ndarray, null: np.ndarray | None = None) -> pa.Array:
+    """ASCII spans as a string array."""
+    out = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data, np.uint8)))
+    return (pc.if_else(pa.array(~null), out, None) if null is not None else out).cast(pa.string())
+
+
+def _texts(words: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """CIGAR texts of words; the distinct words are written once."""
+    known, at = np.unique(words, return_inverse=True)
+    each = pa.array([f"{w >> 4}{OPERATIONS[w & 15]}" for w in known.tolist()], pa.string()).take(pa.array(at.reshape(-1)))
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), each), "")
+
+
+_WIDTH = np.zeros(256, np.int64)
+for _k, _v in {"A": 1, "c": 1, "C": 1, "s": 2, "S": 2, "i": 4, "I": 4, "f": 4}.items():
+    _WIDTH[ord(_k)] = _v
+
+
+def tag_columns(data: np.ndarray, at: np.ndarray, stop: np.ndarray, wanted: dict[str, str]) -> dict[str, pa.Array]:
+    """The wanted tags of all records, which step through their tags together."""
+    n, at = len(at), at.copy()
+    zeros = np.flatnonzero(data == 0)
+    found: dict[str, list] = {t: [] for t in wanted}
+    rows = np.flatnonzero(at + 3 <= stop)
+    while len(rows):
+        p = at[rows]
+        kind = data[p + 2]
+        size = 3 + _WIDTH[kind]
+        text = (kind == ord("Z")) | (kind == ord("H"))
+        if text.any():
+            size[text] = zeros[np.searchsorted(zeros, p[text] + 3)] + 1 - p[text]
+        many = kind == ord("B")
+        if many.any():
+            count = data[p[many][:, None] + np.arange(4, 8)].astype(np.uint32) @ np.array([1, 1 << 8, 1 << 16, 1 << 24], np.uint32)
+            size[many] = 8 + count.astype(np.int64) * _WIDTH[data[p[many] + 3]]
+        if (size <= 3).any():
+            raise ValueError("unknown type of a BAM tag")
+        for t in wanted:
+            hit = (data[p] == ord(t[0])) & (data[p + 1] == ord(t[1]))
+            if hit.any():
+                found[t].append((rows[hit], p[hit], size[hit], kind[hit]))
+        at[rows] += size
+        rows = rows[at[rows] + 3 <= stop[rows]]
+    out = {}
+    for t, letter in wanted.items():
+        type_ = tag_type(letter)
+        if type_.startswith("array"):
+            values: list = [None] * n
+            for r, p, z, _ in found[t]:
+                for i, a, k in zip(r.tolist(), p.tolist(), z.tolist(), strict=True):
+                    values[i] = np.frombuffer(data[a + 8 : a + k].tobytes(), _SCALAR[chr(data[a + 3])]).tolist()
+            out[t] = pa.array(values, pa.list_(_ARROW[type_[6:-1]]))
+        elif type_ == "string":
+            where, size = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+            for r, p, z, k in found[t]:
+                where[r], size[r] = p + 3, z - 3 - (k != ord("A"))
+            out[t] = strings(*spans(data, where, np.maximum(size, 0)), null=size < 0)
+        else:
+            values, null = np.zeros(n, np.float64 if type_ == "float" else np.int64), np.ones(n, bool)
+            for r, p, _, k in found[t]:
+                for x in np.unique(k).tolist():
+                    i = k == x
+                    code = np.dtype(_SCALAR[chr(x)])
+                    values[r[i]] = data[p[i][:, None] + np.arange(3, 3 + code.itemsize)].copy().view(code).reshape(-1)
+                null[r] = False
+            out[t] = pa.array(values, mask=null).cast(_ARROW[type_])
+    return out
+
+
+def decode(raw: bytes, offsets: np.ndarray, refs: list[tuple[str, int]], names: list[str], wanted: dict[str, str], zero_based: bool) -> dict[str, pa.Array]:
+    """The columns asked for of the records at these offsets, all at a time; what is not asked for is not decoded."""
+    data = np.frombuffer(raw, np.uint8)
+    head = data[offsets[:, None] + np.arange(36)].copy().view(_HEAD).reshape(-1)
+    ask = set(names)
+    at = offsets + 36
+    l_name, n_cigar, l_seq = head["l_name"].astype(np.int64), head["n_cigar"].astype(np.int64), head["l_seq"].astype(np.int64)
+    cigar_at = at + l_name
+    seq_at = cigar_at + 4 * n_cigar
+    qual_at = seq_at + (l_seq + 1) // 2
+    pos, shift = head["pos"].astype(np.int64), 0 if zero_based else 1
+    out: dict[str, pa.Array] = {"flags": pa.array(head["flag"].astype(np.int64)), "mapping_quality": pa.array(head["mapq"].astype(np.int64)), "template_length": pa.array(head["tlen"].astype(np.int32))}
+    out["start"] = pa.array(pos + shift, mask=pos < 0)
+    out["mate_start"] = pa.array(head["mate_pos"].astype(np.int64) + shift, mask=head["mate_pos"] < 0)
+    chroms = pa.array([r[0] for r in refs], pa.string())
+    for column, ref in (("chrom", head["ref"]), ("mate_chrom", head["mate"])):
+        if column in ask:
+            out[column] = chroms.take(pa.array(ref, mask=ref < 0))
+    if "name" in ask:
+        out["name"] = strings(*spans(data, at, l_name - 1))
+    if ask & {"cigar", "end"}:
+        words, ends = spans(data, cigar_at, 4 * n_cigar)
+        words, ends = words.view("<u4").astype(np.int64), ends // 4
+        if "cigar" in ask:
+            out["cigar"] = _texts(words, ends)
+        sums = np.concatenate(([0], np.cumsum(np.where(_CONSUMES[words & 15], words >> 4, 0))))
+        out["end"] = pa.array(pos + np.maximum(sums[ends[1:]] - sums[ends[:-1]], 1), mask=pos < 0)
+    if "sequence" in ask:
+        pairs, ends = spans(data, seq_at, (l_seq + 1) // 2)
+        letters = _PAIRS[pairs].reshape(-1)
+        odd = l_seq % 2 == 1
+        letters = np.delete(letters, 2 * ends[1:][odd] - 1) if odd.any() else letters
+        out["sequence"] = strings(letters, np.concatenate(([0], np.cumsum(l_seq))))
+    if "quality_scores" in ask:
+        has = l_seq > 0
+        has[has] = data[qual_at[has]] != 255
+        scores, ends = spans(data, qual_at, np.where(has, l_seq, 0))
+        out["quality_scores"] = strings(np.minimum(scores, 93) + 33, ends)
+    if wanted and ask & set(wanted):
+        size = head["size"].astype(np.int64)
+        out |= tag_columns(data, qual_at + l_seq, offsets + 4 + size, {t: k for t, k in wanted.items() if t in ask})
+    return out
+
+
+@dataclass
+class Chunks(InputPartition):
+    """Ranges of virtual offsets."""
+
+    ranges: list
+
+
 class BamReader(Reader):
+    """Byte ranges, or the chunks that an index beside the file names for the regions of pushed filters.
+
+    A range owns the records that begin in it. A chunk's records are read whole and unique by their offsets; Spark evaluates
+    the filters again.
+    """
+
+    filters: tuple = ()
+
+    def pushFilters(self, filters):
+        self.filters = tuple(filters)
+        return iter(filters)
+
     def partitions(self):
         n, step = bgzf.size_of(self.path), int(option(self.options, "splitBytes", str(64 << 20)))
-        return [Range(a, min(a + step, n)) for a in range(0, max(n, 1), step)]
-
-    def read(self, part: Range):
+        regions = extract_regions(list(self.filters), self.zero_based())
+        beside = indexes.find(self.path, option(self.options, "index") or None) if regions is not None else None
+        if beside is None:
+            return [Range(a, min(a + step, n)) for a in range(0, max(n, 1), step)]
+        _, refs, _ = header(bgzf.Blocks(self.path))
+        index = indexes.load(beside, [r[0] for r in refs])
+        found: list[list[int]] = []
+        for r in regions:
+            if r.chrom in index.names:
+                found += [list(c) for c in index.chunks(index.names.index(r.chrom), r.start - 1, r.end or index.reach)]
+        out: list[list] = [[]]
+        for a, b in sorted(found):
+            if out[-1] and a <= out[-1][-1][1]:
+                out[-1][-1][1] = max(b, out[-1][-1][1])
+                continue
+            if out[-1] and sum((y >> 16) - (x >> 16) for x, y in out[-1]) >= step:
+                out.append([])
+            out[-1].append([a, b])
+        return [Chunks(x) for x in out]
+
+    def read(self, part):
         size = bgzf.size_of(self.path)
         top = bgzf.Blocks(self.path)
         _, refs, first = header(top)
+        if isinstance(part, Chunks):
+            for a, b in part.ranges:
+                blocks = bgzf.Blocks(self.path, a >> 16)
+                if blocks.fill():
+                    yield from self._records(blocks, a & 0xFFFF, b, refs)
+            return
         with bgzf.open_raw(self.path) as f:
             start = bgzf.find_block(f, part.start, size)
             stop = bgzf.find_block(f, part.end, size) if part.end < size else size
@@ -109,55 +278,55 @@ class BamReader(Reader):
         if part.start == 0:
             blocks, at = top, first
         else:
-            blocks = bgzf.Blocks(self.path, start)
-            if not blocks.fill():
+            blocks, at = bgzf.Blocks(self.path, start), 0
+            while blocks.need(at, 36) and blocks.block_of(at) < stop and not plausible(blocks, at, len(refs)):
+                at += 1
+                if at > 1 << 28:  # no record is as long
+                    raise ValueError(f"no record begins behind byte {start} of the BAM file")
+            if not blocks.need(at, 36) or blocks.block_of(at) >= stop:
+                return  # one record covers the whole range
+        yield from self._records(blocks, at, stop << 16, refs)
+
+    def _records(self, blocks: bgzf.Blocks, at: int, stop: int, refs):
+        """Batches of the records from stream position ``at`` on that begin before virtual offset ``stop``."""
+        limit = None  # stream position of the stop, once it is reached
+        while True:
+            while blocks.base + len(blocks.data) - at < BATCH_BYTES and blocks.at <= stop >> 16 and blocks.fill():
+                pass
+            if limit is None and blocks.at > stop >> 16 or not blocks.need(at, 4):
+                # the last mark is the block of the stop, or the file ends before it
+                limit = next((p + (stop & 0xFFFF) for p, b in reversed(blocks.marks) if b == stop >> 16), blocks.base + len(blocks.data))
+            held = blocks.base + len(blocks.data)
+            offsets, k, data = [], at - blocks.base, blocks.data
+            behind = (held if limit is None else min(limit, held)) - blocks.base
+            while k + 4 <= len(data) and k < behind:
+                n = int.from_bytes(data[k : k + 4], "little")
+                if k + 4 + n > len(data):
+                    break
+                offsets.append(k)
+                k += 4 + n
+            if offsets:
+                at = blocks.base + k
+                for a in range(0, len(offsets), BATCH_ROWS):
+                    yield self._batch(data, np.array(offsets[a : a + BATCH_ROWS], np.int64), refs)
+                blocks.drop(at)
+            if limit is not None and at >= limit:
                 return
-            at = next((k for k in range(0, 1 << 22) if blocks.need(k, 4) and plausible(blocks, k, len(refs))), None)
-            if at is None:
-                return
-        rows: list[tuple] = []
-        while blocks.need(at, 4):
-            if blocks.block_of(at) >= stop:
-                break
-            (n,) = struct.unpack("<i", blocks.get(at, 4))
-            if not blocks.need(at + 4, n):
-                raise ValueError("BAM record cut off")
-            rows.append(self._record(blocks.get(at + 4, n), refs))
-            at += 4 + n
-            blocks.drop(at)
-            if len(rows) >= 8192:
-                yield self._rows(rows)
-                rows = []
-        if rows:
-            yield self._rows(rows)
-
-    def _record(self, r: bytes, refs) -> tuple:
-        zero = option(self.options, "zeroBased", "true") == "true"
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq, mate, mate_pos, tlen = struct.unpack_from("<iiBBHHHiiii", r)
-        at = 32 + l_name
-        words = np.frombuffer(r, "<u4", n_cigar, at)
-        cigar = "".join(f"{w >> 4}{OPERATIONS[w & 15]}" for w in words.tolist())
-        span = sum(w >> 4 for w in words.tolist() if OPERATIONS[w & 15] in "MDN=X")
-        at += 4 * n_cigar
-        seq = "".join(_PAIRS[np.frombuffer(r, np.uint8, (l_seq + 1) // 2, at)])[:l_seq]
-        at += (l_seq + 1) // 2
-        qual = np.frombuffer(r, np.uint8, l_seq, at)
-        text = "" if l_seq and qual[0] == 255 else (np.minimum(qual, 93) + 33).astype(np.uint8).tobytes().decode()
-        tags = {t: v for t, _, v in tags_of(r[at + l_seq :])} if self.wanted() else {}
-        return (
-            r[32 : 31 + l_name].decode(), refs[ref][0] if ref >= 0 else None, pos + (not zero) if pos >= 0 else None, pos + max(span, 1) if pos >= 0 else None, flag, cigar, mapq,
-            refs[mate][0] if mate >= 0 else None, mate_pos + (not zero) if mate_pos >= 0 else None, seq, text, tlen, tags,
-        )
+            if not offsets:
+                if not blocks.need(at, 4):
+                    return
+                (n,) = struct.unpack("<i", blocks.get(at, 4))
+                if not blocks.need(at + 4, n):
+                    raise ValueError("BAM record cut off")
+
+    def zero_based(self) -> bool:
+        return option(self.options, "zeroBased", "true") == "true"
 
     def wanted(self) -> dict[str, str]:
         return dict(x.split("=") for x in option(self.options, "tags").split(",") if x)
 
-    def _rows(self, rows: list[tuple]):
-        columns = {n: pa.array([r[k] for r in rows], _ARROW[t]) for k, (n, t) in enumerate(CORE)}
-        for tag, kind in self.wanted().items():
-            t = tag_type(kind)
-            columns[tag] = pa.array([r[12].get(tag) for r in rows], pa.list_(_ARROW[t[6:-1]]) if t.startswith("array") else _ARROW[t])
-        return self.batch(columns)
+    def _batch(self, data: bytes, offsets: np.ndarray, refs) -> pa.RecordBatch:
+        return self.batch(decode(data, offsets, refs, self.names, self.wanted(), self.zero_based()))
 
 
 class BamSource(DataSource):

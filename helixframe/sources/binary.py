@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -165,6 +166,78 @@ class FastqSource(DataSource):
         return FastqReader(self.options, schema)
 
 
+# --- lines of BGZF files -------------------------------------------------------------------------------------------
+
+
+class BgzfLinesReader(Reader):
+    """Block ranges. A range owns the lines that begin in it, behind its first line feed, up to its end's first byte."""
+
+    def partitions(self):
+        n, step = bgzf.size_of(self.path), int(option(self.options, "splitBytes", str(32 << 20)))
+        return [Range(a, min(a + step, n)) for a in range(0, max(n, 1), step)]
+
+    def read(self, part: Range):
+        size = bgzf.size_of(self.path)
+        with bgzf.open_raw(self.path) as f:
+            start = bgzf.find_block(f, part.start, size)
+            stop = bgzf.find_block(f, part.end, size) if part.end < size else size
+        if start >= stop:
+            return
+        blocks, rest, skip = bgzf.Blocks(self.path, start), b"", start > 0
+
+        def taken() -> bytes:
+            data, blocks.data, blocks.base = blocks.data, b"", blocks.base + len(blocks.data)
+            blocks.marks.clear()
+            return data
+
+        while blocks.at < stop:
+            while blocks.at < stop and len(blocks.data) < 4 << 20 and blocks.fill():
+                pass
+            data = taken()
+            if not data and blocks.at < stop:
+                break
+            if skip:
+                k = data.find(b"\n")
+                if k < 0:
+                    continue
+                data, skip = data[k + 1 :], False
+            data = rest + data
+            k = data.rfind(b"\n") + 1
+            rest = data[k:]
+            yield from self._batch(data[:k])
+        # the line that goes on behind the range, or begins with its end
+        pieces = [] if skip else [rest]
+        while blocks.fill():
+            data = taken()
+            k = data.find(b"\n")
+            pieces.append(data if k < 0 else data[: k + 1])
+            if k >= 0:
+                break
+        if not skip:
+            yield from self._batch(b"".join(pieces))
+
+    def _batch(self, data: bytes):
+        if data:
+            each = pc.split_pattern(pa.array([data.decode("utf-8", "replace")], pa.large_string()), "\n")[0].values
+            each = each[: len(each) - 1] if data.endswith(b"\n") else each
+            for a in range(0, len(each), 16384):
+                yield pa.RecordBatch.from_arrays([pc.utf8_rtrim(each[a : a + 16384], "\r").cast(pa.string())], names=["value"])
+
+
+class BgzfLinesSource(DataSource):
+    """The lines of one BGZF file, in parallel; ``splitBytes`` of the compressed file per task."""
+
+    @classmethod
+    def name(cls):
+        return "bgzf_lines"
+
+    def schema(self):
+        return "value string"
+
+    def reader(self, schema):
+        return BgzfLinesReader(self.options, schema)
+
+
 def register(spark: SparkSession) -> None:
     """All data sources of this package, for ``spark.read.format(...)`` and SQL."""
     from helixframe.session import ship
@@ -173,5 +246,5 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")  # the readers prune by pushed filters
     from . import alignments, bbi, genotypes, indexes, vep
 
-    for source in (FastqSource, alignments.BamSource, bbi.BigWigSource, bbi.BigBedSource, genotypes.BgenSource, genotypes.PgenSource, genotypes.ZarrSource, genotypes.BcfSource, vep.VepEntitySource, indexes.IndexedLinesSource):
+    for source in (FastqSource, BgzfLinesSource, alignments.BamSource, bbi.BigWigSource, bbi.BigBedSource, genotypes.BgenSource, genotypes.PgenSource, genotypes.ZarrSource, genotypes.BcfSource, vep.VepEntitySource, indexes.IndexedLinesSource):
         spark.dataSource.register(source)

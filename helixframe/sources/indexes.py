@@ -44,6 +44,11 @@ class Index:
                 out.append((a, b))
         return out
 
+    @property
+    def reach(self) -> int:
+        """The first position that the bins can't hold: where a region without an end stops."""
+        return 1 << (self.shift + 3 * self.depth)
+
     def size(self, ref: int, start: int, end: int) -> int:
         """Estimated compressed bytes of a region."""
         return sum(max((b >> 16) - (a >> 16), 1) for a, b in self.chunks(ref, start, end))
@@ -124,7 +129,7 @@ def merged(regions: list[Region]) -> list[Region]:
 def plan(index: Index, regions: list[Region] | None, partitions: int) -> list[list[Region]]:
     """Regions dealt to partitions by their indexed bytes; None: every reference as a whole."""
     wanted = [Region(n) for n in index.names] if regions is None else merged(regions)
-    sized = [Sized(r, index.size(index.names.index(r.chrom), r.start - 1, r.end or 1 << 29), 1 << 29) for r in wanted if r.chrom in index.names]
+    sized = [Sized(r, index.size(index.names.index(r.chrom), r.start - 1, r.end or index.reach), index.reach) for r in wanted if r.chrom in index.names]
     return balance(sized, partitions) if sized else []
 
 
@@ -185,7 +190,7 @@ class IndexedLinesReader(Reader):
 
     def _lines(self, index: Index, r: Region):
         ref = index.names.index(r.chrom)
-        for a, b in index.chunks(ref, r.start - 1, r.end or 1 << 29):
+        for a, b in index.chunks(ref, r.start - 1, r.end or index.reach):
             blocks, at = bgzf.Blocks(self.path, a >> 16), a & 0xFFFF
             if not blocks.fill():
                 return
@@ -278,3 +283,48 @@ def build_tbi(path: str, columns: tuple[int, int, int] = (0, 1, 2), vcf: bool =
     with fs.open_output_stream(p, compression=None) as f:
         f.write(compress(out, "bgzf") + BGZF_END)
     return f"{path}.tbi"
+
+
+def build_bai(path: str) -> str:
+    """Index a BAM file that is sorted by coordinate, in one pass; written beside it."""
+    from helixframe.sinks.lines import filesystem
+
+    from .alignments import header
+
+    blocks = bgzf.Blocks(path)
+    _, refs, at = header(blocks)
+    bins: list[dict[int, list[list[int]]]] = [{} for _ in refs]
+    linear: list[list[int]] = [[] for _ in refs]
+
+    def voffset(p: int) -> int:
+        block = blocks.block_of(p)
+        return block << 16 | p - max(x for x, b in blocks.marks if b == block)
+
+    while blocks.need(at, 4):
+        (n,) = struct.unpack("<i", blocks.get(at, 4))
+        blocks.need(at + 4, n)
+        begin, r = voffset(at), blocks.get(at + 4, n)
+        at += 4 + n
+        stop = voffset(at) if blocks.need(at, 1) else blocks.at << 16
+        ref, pos, l_name, _, bin_, n_cigar = struct.unpack_from("<iiBBHH", r)
+        blocks.drop(at)
+        if ref < 0 or pos < 0:
+            continue
+        words = struct.unpack_from(f"<{n_cigar}I", r, 32 + l_name)
+        end = pos + max(sum(w >> 4 for w in words if w & 15 in (0, 2, 3, 7, 8)), 1)
+        own = bins[ref].setdefault(bin_, [])
+        if own and own[-1][1] == begin:
+            own[-1][1] = stop
+        else:
+            own.append([begin, stop])
+        for w in range(pos >> 14, (end - 1 >> 14) + 1):
+            while len(linear[ref]) <= w:
+                linear[ref].append(begin)
+    out = b"BAI\1" + struct.pack("<i", len(refs))
+    for b, w in zip(bins, linear, strict=True):
+        out += struct.pack("<i", len(b)) + b"".join(struct.pack("<Ii", k, len(c)) + b"".join(struct.pack("<QQ", *x) for x in c) for k, c in b.items())
+        out += struct.pack("<i", len(w)) + struct.pack(f"<{len(w)}Q", *w)
+    fs, p = filesystem(f"{path}.bai")
+    with fs.open_output_stream(p, compression=None) as f:
+        f.write(out)
+    return f"{path}.bai"

@@ -16,11 +16,27 @@ ZERO_BASED = "bio.coordinate_system_zero_based"
 
 
 def lines(spark: SparkSession, path: str | list[str], comment: str | None = "#") -> DataFrame:
-    df = spark.read.text(path)
-    df = df.where(F.trim("value") != "")
+    """The lines of files. One BGZF file is read by ranges of its blocks, which other gzip does not allow."""
+    df = _bgzf_lines(spark, path) if isinstance(path, str) and path.endswith((".gz", ".bgz")) else None
+    df = (spark.read.text(path) if df is None else df).where(F.trim("value") != "")
     return df.where(~F.startswith("value", F.lit(comment))) if comment else df
 
 
+def _bgzf_lines(spark: SparkSession, path: str) -> DataFrame | None:
+    from . import bgzf
+    from .binary import register
+
+    try:
+        if bgzf.compression(path) != "bgzf":
+            return None
+        size = bgzf.size_of(path)
+    except (OSError, ValueError):  # a pattern, or a store that only Spark opens
+        return None
+    register(spark)
+    step = min(max(size // (2 * spark.sparkContext.defaultParallelism), 1 << 18), 32 << 20)
+    return spark.read.format("bgzf_lines").option("splitBytes", step).load(path)
+
+
 def indexed_lines(spark: SparkSession, path: str, regions: list[str], partitions: int = 16, kind: str = "vcf", columns: str = "0,1,2") -> DataFrame:
     """The lines of an indexed BGZF file that overlap regions; [] gives none."""
     from .binary import register
