@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -53,7 +54,8 @@ def reference_span(cigar: Column | str) -> Column:
 
 
 _OP = re.compile(r"(\d+)([MIDNSHP=X])")
-_BASES = frozenset("ACGTU")
+_KNOWN = np.zeros(256, bool)
+_KNOWN[list(b"ACGTU")] = True
 
 
 def nm_md(cigar: str | None, sequence: str | None, reference: str | None) -> tuple[int | None, str | None]:
@@ -70,14 +72,19 @@ def nm_md(cigar: str | None, sequence: str | None, reference: str | None) -> tup
     nm, q, r, same, md = 0, 0, 0, 0, []
     for n, op in ops:
         if op in "M=X":
-            for k in range(n):
-                a, b = read[q + k], ref[r + k] if r + k < len(ref) else "N"
-                if a == b and a in _BASES:
-                    same += 1
-                else:
-                    nm += 1
-                    md.append(f"{same}{b}")
-                    same = 0
+            if q + n > len(read):
+                raise IndexError("a CIGAR that is longer than its sequence")
+            over = ref[r : r + n].ljust(n, "N")  # beyond the reference: N
+            a, b = np.frombuffer(read[q : q + n].encode("latin-1", "replace"), np.uint8), np.frombuffer(over.encode("latin-1", "replace"), np.uint8)
+            wrong = np.flatnonzero((a != b) | ~_KNOWN[a])
+            nm += len(wrong)
+            gaps = np.diff(wrong, prepend=-1) - 1
+            if len(wrong):
+                gaps[0] += same
+                md += [f"{g}{over[k]}" for g, k in zip(gaps.tolist(), wrong.tolist(), strict=True)]
+                same = n - 1 - int(wrong[-1])
+            else:
+                same += n
             q, r = q + n, r + n
         elif op == "I":
             nm, q = nm + n, q + n
@@ -94,7 +101,7 @@ def nm_md(cigar: str | None, sequence: str | None, reference: str | None) -> tup
 
 
 def nm_and_md(cigar: Column | str, sequence: Column | str, reference: Column | str) -> Column:
-    """Struct (nm, md); walking an alignment is sequential, so this one is a pandas UDF."""
+    """Struct (nm, md); walking an alignment is sequential, so this one is a pandas UDF; the bases of an operation are compared as arrays."""
 
     def run(cigar: pd.Series, sequence: pd.Series, reference: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([nm_md(*x) for x in zip(cigar, sequence, reference, strict=True)], columns=["nm", "md"]).astype({"nm": "Int32"})

@@ -26,9 +26,23 @@ def matrix_rows(spark: SparkSession, path: str, field: str = "ALT_COUNT"):
 
 
 def read_matrix(spark: SparkSession, path: str, field: str = "ALT_COUNT") -> np.ndarray:
-    """The matrix in the caller's memory, filled partition by partition: int8 with -1, or float32 with nan, for missing."""
+    """The matrix in the caller's memory: int8 with -1, or float32 with nan, for missing.
+
+    Rows are packed by the tasks, a batch to a block of bytes; the caller copies blocks, a partition at a time.
+    """
     shape = matrix_shape(path)
-    out = np.full(shape, -1, np.int8) if field == "ALT_COUNT" else np.full(shape, np.nan, np.float32)
-    for k, r in enumerate(matrix_rows(spark, path, field).select("values").toLocalIterator(prefetchPartitions=True)):
-        out[k] = [(-1 if field == "ALT_COUNT" else np.nan) if x is None else x for x in r[0]]
+    kind, missing = (np.int8, -1) if field == "ALT_COUNT" else (np.float32, np.nan)
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            lists = b.column(0)
+            flat = lists.flatten().fill_null(missing).to_numpy(zero_copy_only=False).astype(kind)
+            yield pa.RecordBatch.from_arrays([pa.array([len(lists)], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["n", "block"])
+
+    out, at = np.full(shape, missing, kind), 0
+    for n, block in matrix_rows(spark, path, field).select("values").mapInArrow(pack, "n long, block binary").toLocalIterator(prefetchPartitions=True):
+        out[at : at + n] = np.frombuffer(block, kind).reshape(n, shape[1])
+        at += n
     return out

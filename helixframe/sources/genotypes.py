@@ -16,7 +16,7 @@ from pyspark.sql.datasource import DataSource, InputPartition
 from helixframe.plans.regions import extract_regions
 
 from . import bgzf
-from .binary import Reader, option, pruned
+from .binary import Range, Reader, option, pruned
 from .text import parse_vcf_header, select_samples
 
 
@@ -560,14 +560,46 @@ def gt_dosage(codes: list) -> int | None:
     return count
 
 
+def _begins(blocks: bgzf.Blocks, at: int, contigs: int, samples: int, depth: int = 4) -> bool:
+    """Whether BCF records begin at a stream position: a chain of well-formed ones, or the end of the file."""
+    for k in range(depth):
+        if not blocks.need(at, 32):
+            return k > 0 and at == blocks.base + len(blocks.data)
+        shared, indiv, chrom, pos, rlen, _, info_alleles, fmt_samples = struct.unpack("<IIiiifII", blocks.get(at, 32))
+        if not (24 < shared < 1 << 28 and indiv < 1 << 30 and 0 <= chrom < contigs and pos >= -1 and rlen >= 0 and info_alleles >> 16 >= 1 and fmt_samples & 0xFFFFFF == samples):
+            return False
+        if (indiv == 0) != (fmt_samples >> 24 == 0):
+            return False
+        at += 8 + shared + indiv
+    return True
+
+
 class BcfReader(_Filtered):
+    """Block ranges of ``splitBytes``; a range owns the records that begin in it."""
+
+    def partitions(self):
+        n, step = bgzf.size_of(self.path), int(option(self.options, "splitBytes", str(64 << 20)))
+        return [Range(a, min(a + step, n)) for a in range(0, max(n, 1), step)]
+
     def read(self, part):
         blocks, head, at = _bcf_text(self.path)
         names, contigs = _dictionary(head), list(head["contigs"])
+        size = bgzf.size_of(self.path)
+        with bgzf.open_raw(self.path) as f:
+            start = bgzf.find_block(f, part.start, size)
+            stop = bgzf.find_block(f, part.end, size) if part.end < size else size
+        if start >= stop:
+            return
+        if part.start > 0:
+            blocks, at = bgzf.Blocks(self.path, start), 0
+            while blocks.need(at, 32) and blocks.block_of(at) < stop and not _begins(blocks, at, len(contigs), len(head["samples"])):
+                at += 1
+                if at > 1 << 30:
+                    raise ValueError(f"no record begins behind byte {start} of the BCF file")
         rows, z = [], _zero(self.options)
         keep = self.chosen(head["samples"])
         self.dosage = _dosage_mode(self.options, head)
-        while blocks.need(at, 8):
+        while blocks.need(at, 8) and blocks.block_of(at) < stop:
             shared, indiv = struct.unpack("<II", blocks.get(at, 8))
             if not blocks.need(at + 8, shared + indiv):
                 raise ValueError("BCF record cut off")

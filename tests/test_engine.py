@@ -383,3 +383,57 @@ def test_bam_ranges_tags_and_pruning(spark, tmp_path):
     build_bai(path)
     part = bam.load(path).where("chrom = 'c1' and start >= 20000 and start < 24000")
     assert sorted(r["start"] for r in part.collect()) == sorted(r[2] for r in rows if r[2] is not None and 20000 <= r[2] < 24000)
+
+
+def test_bcf_by_ranges(spark, tmp_path):
+    """The same records whatever the split."""
+    from helixframe import render
+    from helixframe.sources.binary import register
+
+    rng = random.Random(4)
+    rows = [(f"c{k % 3}", 10 * k + 1, f"v{rng.randrange(10**9)}", "A", "C", k, [rng.choice(["0/0", "0/1", "1/1", "./."]) for _ in range(20)]) for k in range(20_000)]
+    path = render.bcf(str(tmp_path / "t.bcf"), rows, [f"S{k}" for k in range(20)], ["c0", "c1", "c2"])
+    register(spark)
+    for step in (20_000, 1 << 26):
+        df = spark.read.format("bcf").option("splitBytes", step).load(path)
+        assert (df.rdd.getNumPartitions() > 5) == (step == 20_000)
+        got = df.select("chrom", "start", "id", "DP", "genotypes.GT").collect()
+        assert sorted(map(tuple, got), key=lambda r: r[3]) == [(r[0], r[1] - 1, r[2], r[5], r[6]) for r in rows]
+
+
+def test_matrix_in_blocks(spark, tmp_path):
+    from helixframe import render
+    from helixframe.operators.matrix import read_matrix
+
+    rows = [("c", 10 * k + 1, f"v{k}", "A", "C", [None if (k + i) % 4 == 3 else (k + i) % 4 for i in range(5)]) for k in range(700)]
+    got = read_matrix(spark, render.pgen(str(tmp_path / "m.pgen"), rows, [f"S{k}" for k in range(5)]))
+    assert got.tolist() == [[-1 if g is None else g for g in r[5]] for r in rows]
+
+
+def test_md_of_odd_bases():
+    """The spans of an operation against base by base."""
+    from helixframe.functions.alignment import nm_md
+
+    rng = random.Random(6)
+    for _ in range(300):
+        ops = [(rng.randint(1, 9), "M"), *((rng.randint(1, 9), rng.choice("MIDNS=X")) for _ in range(rng.randint(0, 5)))]
+        q = "".join(rng.choice("ACGTNacgt=") for _ in range(sum(n for n, o in ops if o in "MIS=X")))
+        ref = "".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 40)))
+        nm, i, r, same, md = 0, 0, 0, 0, ""
+        for n, o in ops:
+            for _ in range(n if o in "M=X" else 0):
+                b = ref[r] if r < len(ref) else "N"
+                if q[i].upper() == b and b in "ACGTU":
+                    same += 1
+                else:
+                    nm, md, same = nm + 1, f"{md}{same}{b}", 0
+                i, r = i + 1, r + 1
+            if o == "I":
+                nm, i = nm + n, i + n
+            elif o == "D":
+                nm, md, same, r = nm + n, f"{md}{same}^{ref[r : r + n]}", 0, r + n
+            elif o == "N":
+                r += n
+            elif o == "S":
+                i += n
+        assert nm_md("".join(f"{n}{o}" for n, o in ops), q, ref) == (nm, md + str(same))
