@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialise, table
+from helixframe.llm.common import discard, materialise, table
 from helixframe.llm.op02_decontamination import decontaminate
 from helixframe.llm.op03_near_dedup import near_dedup
 from helixframe.llm.op04_toxicity import learn, toxicity
@@ -42,8 +42,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = near_dedup(docs).where(~F.col("kept")).select(F.col("doc_id").alias("id_"), "t1", "t2").distinct()
-    gone = materialise(gone, "pipeline-copies")
+    found = near_dedup(docs)
+    gone = materialise(found.where(~F.col("kept")).select(F.col("doc_id").alias("id_"), "t1", "t2").distinct(), "pipeline-copies")
+    discard(found)
     here = F.col("doc_id").eqNullSafe(F.col("id_")) & (F.xxhash64("text") == F.col("t1")) & (F.xxhash64(F.lit(7), "text") == F.col("t2"))
     return docs.join(gone, here, "left_anti")
 
@@ -69,7 +70,8 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(before)
     return docs
 
 
