@@ -494,92 +494,49 @@ def pairs_read(spark, d):
     return p.groupBy("readID", "chr1", "pos1").agg(F.count("*").alias("n"))
 
 
-_SEQ = "translate(lower(substr(text, 1, 300)), 'abcdefghijklmnopqrstuvwxyz .,' || chr(10), 'ACGTACGTACGTACGTACGTACGTACGTAC')"
-
-
-def _reads(spark, d):
-    t = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.translate(F.lower(F.substring("text", 1, 300)), "abcdefghijklmnopqrstuvwxyz .,\n", "ACGTACGTACGTACGTACGTACGTACGTAC").alias("sequence"))
-    return t.where(F.col("sequence").rlike("^[ACGT]+$")).select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("name"), F.lit("some read").alias("description"), "sequence", F.repeat(F.lit("I"), F.length("sequence")).alias("quality_scores"))
-
-
-_READS_SQL = f"reads AS (SELECT 's' || doc_id AS name, 'some read' AS description, {_SEQ} AS sequence FROM documents WHERE lang = 'en' AND regexp_full_match({_SEQ}, '[ACGT]+'))"
-
-
-def fasta_read(spark, d):
-    path = _scratch(spark, ".fa")
-    sink.write_fasta(_reads(spark, d), path, width=60)
-    return src.read_fasta(spark, path)
-
-
-def fastq_read(spark, d):
-    path = _scratch(spark, ".fastq")
-    sink.write_fastq(_reads(spark, d), path)
-    return src.read_fastq(spark, path).select("name", "description", "sequence")
-
-
-def fastq_partition_invariance(spark, d):
-    """The same records over byte ranges of three sizes and over BGZF blocks."""
-    out = None
-    for k, (suffix, size) in enumerate(((".fastq", 1 << 14), (".fastq", 1 << 16), (".fastq.bgz", 1 << 14), (".fastq.gz", 1 << 14))):
-        path = _scratch(spark, suffix)
-        sink.write_fastq(_reads(spark, d), path)
-        one = src.read_fastq(spark, path, size).agg(F.count("*").alias("n"), F.sum(F.length("sequence")).alias("bases")).select(F.lit(k).alias("k"), "n", "bases")
-        out = one if out is None else out.union(one)
-    return out
-
-
-for _f, _sql in (
-    (fasta_read, "SELECT * FROM reads"),
-    (fastq_read, "SELECT * FROM reads"),
-    (fastq_partition_invariance, "SELECT k::INT AS k, count(*) AS n, sum(length(sequence))::BIGINT AS bases FROM reads, generate_series(0, 3) AS s(k) GROUP BY k"),
-):
-    QUERIES[_f.__name__] = _f
-    ORACLES[_f.__name__] = _WITH.rstrip() + ", " + _READS_SQL + " " + _sql
-
-
 #: One pass over both cases; what is left over becomes N, so every text is a sequence from end to end.
 _LETTERS, _BASES = "abcdefghijklmnopqrstuvwxyz .,\n", "ACGTACGTACGTACGTACGTACGTACGTAC"
-_WHOLE_READS_SQL = f"reads AS (SELECT 's' || doc_id AS name, 'some read' AS description, regexp_replace(translate(coalesce(text, ''), '{_LETTERS[:26].upper()}{_LETTERS[:-1]}' || chr(10), '{_BASES[:26]}{_BASES}'), '[^ACGT]', 'N', 'g') AS sequence FROM documents)"
+_READS_SQL = f"reads AS (SELECT 's' || doc_id AS name, 'some read' AS description, regexp_replace(translate(coalesce(text, ''), '{_LETTERS[:26].upper()}{_LETTERS[:-1]}' || chr(10), '{_BASES[:26]}{_BASES}'), '[^ACGT]', 'N', 'g') AS sequence FROM documents)"
 
 
-def _whole_reads(spark, d):
+def _reads(spark, d):
     """Every document in full length; one without text is an empty sequence."""
     sequence = F.translate(F.coalesce("text", F.lit("")), _LETTERS[:26].upper() + _LETTERS, _BASES[:26] + _BASES)
     t = table(spark, d, "documents").select("doc_id", F.regexp_replace(sequence, "[^ACGT]", "N").alias("sequence"))
     return t.select(F.concat(F.lit("s"), F.col("doc_id").cast("string")).alias("name"), F.lit("some read").alias("description"), "sequence", F.repeat(F.lit("I"), F.length("sequence")).alias("quality_scores"))
 
 
-def fasta_read_whole(spark, d):
+def fasta_read(spark, d):
     path = _scratch(spark, ".fa")
-    sink.write_fasta(_whole_reads(spark, d), path, width=60)
+    sink.write_fasta(_reads(spark, d), path, width=60)
     return src.read_fasta(spark, path)
 
 
-def fastq_read_whole(spark, d):
+def fastq_read(spark, d):
     path = _scratch(spark, ".fastq")
-    sink.write_fastq(_whole_reads(spark, d), path)
+    sink.write_fastq(_reads(spark, d), path)
     return src.read_fastq(spark, path).select("name", "description", "sequence")
 
 
-def fastq_partition_invariance_whole(spark, d):
+def fastq_partition_invariance(spark, d):
     """The same records over byte ranges of two sizes, which the longest cross, over BGZF blocks and over one gzip stream."""
     out, paths = None, {}
     for k, (suffix, size) in enumerate(((".fastq", 1 << 18), (".fastq", 1 << 20), (".fastq.bgz", 1 << 18), (".fastq.gz", 1 << 18))):
         if suffix not in paths:
             paths[suffix] = _scratch(spark, suffix)
-            sink.write_fastq(_whole_reads(spark, d), paths[suffix])
+            sink.write_fastq(_reads(spark, d), paths[suffix])
         one = src.read_fastq(spark, paths[suffix], size).agg(F.count("*").alias("n"), F.sum(F.length("sequence")).alias("bases")).select(F.lit(k).alias("k"), "n", "bases")
         out = one if out is None else out.union(one)
     return out
 
 
 for _f, _sql in (
-    (fasta_read_whole, "SELECT * FROM reads"),
-    (fastq_read_whole, "SELECT * FROM reads"),
-    (fastq_partition_invariance_whole, "SELECT k::INT AS k, count(*) AS n, sum(length(sequence))::BIGINT AS bases FROM reads, generate_series(0, 3) AS s(k) GROUP BY k"),
+    (fasta_read, "SELECT * FROM reads"),
+    (fastq_read, "SELECT * FROM reads"),
+    (fastq_partition_invariance, "SELECT k::INT AS k, count(*) AS n, sum(length(sequence))::BIGINT AS bases FROM reads, generate_series(0, 3) AS s(k) GROUP BY k"),
 ):
     QUERIES[_f.__name__] = _f
-    ORACLES[_f.__name__] = _WITH.rstrip() + ", " + _WHOLE_READS_SQL + " " + _sql
+    ORACLES[_f.__name__] = _WITH.rstrip() + ", " + _READS_SQL + " " + _sql
 
 
 def _alignments(spark, d):
@@ -622,14 +579,8 @@ def nm_tag(spark, d):
     return a.select(F.col("q").cast("int").alias("q"), alignment.nm_and_md("cigar", "sequence", "reference")["nm"].alias("nm"), "n")
 
 
-@query("SELECT l_quantity::INT AS q, CASE WHEN l_quantity::INT <= 4 THEN '0C' || (l_quantity::INT - 1) ELSE NULL END AS md FROM lineitem WHERE l_quantity <= 4 GROUP BY ALL")
-def md_tag(spark, d):
-    a = _alignments(spark, d).where(F.col("end") - F.col("start") <= 4).select("cigar", "sequence", F.lit("CAAA").alias("reference"), (F.col("end") - F.col("start")).cast("int").alias("q")).distinct()
-    return a.select("q", alignment.nm_and_md("cigar", "sequence", "reference")["md"].alias("md"))
-
-
 @query("SELECT l_quantity::INT AS q, '0C' || repeat('3C', (l_quantity::INT - 1) // 4) || ((l_quantity::INT - 1) % 4) AS md, count(*) AS n FROM lineitem GROUP BY ALL")
-def md_tag_whole(spark, d):
+def md_tag(spark, d):
     a = _alignments(spark, d).select("cigar", "sequence", F.repeat(F.lit("CAAA"), 15).alias("reference"), (F.col("end") - F.col("start")).cast("int").alias("q"))
     a = a.groupBy("cigar", "sequence", "reference", "q").agg(F.count("*").alias("n"))
     return a.select("q", alignment.nm_and_md("cigar", "sequence", "reference")["md"].alias("md"), "n")

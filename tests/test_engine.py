@@ -182,10 +182,10 @@ def test_whole_reads(spark, tmp_path):
     base = {c: "ACGT"[k % 4] for k, c in enumerate("abcdefghijklmnopqrstuvwxyz .,\n")}
     base |= {c.upper(): x for c, x in base.items()}
     want = sorted((f"s{i}", "some read", "".join(base.get(c, "N") for c in t or "")) for i, t in enumerate(texts))
-    for name in ("fasta_read_whole", "fastq_read_whole"):
+    for name in ("fasta_read", "fastq_read"):
         assert sorted(map(tuple, QUERIES[name](spark, d).collect())) == want, name
     total = (len(want), sum(len(x) for _, _, x in want))
-    assert sorted(map(tuple, QUERIES["fastq_partition_invariance_whole"](spark, d).collect())) == [(k, *total) for k in range(4)]
+    assert sorted(map(tuple, QUERIES["fastq_partition_invariance"](spark, d).collect())) == [(k, *total) for k in range(4)]
 
 
 def test_whole_md(spark):
@@ -199,7 +199,7 @@ def test_whole_md(spark):
         gaps = [b - a - 1 for a, b in zip([-1, *off], [*off, n])]
         md = "C".join(map(str, gaps))
         want[n, md] = want.get((n, md), 0) + 1
-    got = {(r["q"], r["md"]): r["n"] for r in QUERIES["md_tag_whole"](spark, d).collect()}
+    got = {(r["q"], r["md"]): r["n"] for r in QUERIES["md_tag"](spark, d).collect()}
     assert got == want and max(q for q, _ in got) == 50
 
 
