@@ -435,6 +435,36 @@ def test_line_dedup(spark):
     assert line_dedup(docs_of(spark, [])).count() == 0
 
 
+def test_line_dedup_maximal_runs(spark):
+    """Every maximal run with its length, number of copies and first copy, nested, overlapping and periodic ones included."""
+    from helixframe.llm.op08_line_dedup import line_dedup
+
+    rng = random.Random(8)
+    texts = ["\n".join(rng.choice("abc") for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    long = [f"line {k}" for k in range(70)]
+    texts += ["\n".join(long), "\n".join(["head", *long[3:60], "\t", *long[60:]]), "\n".join(long[10:21] + long[40:]), "\n".join(["z"] * 45), "b c\nd", "a b\nb c", "a b\nb c\nd"]
+    texts += [texts[1], None, "", " "]
+    lines = [[(j, x) for j, x in enumerate((t or "").split("\n")) if x.strip(" \t\r")] for t in texts]
+    where: dict = {}
+    for d, ls in enumerate(lines):
+        for i in range(len(ls)):
+            for e in range(i + 1, len(ls) + 1):
+                where.setdefault(tuple(x for _, x in ls[i:e]), []).append((d, i))
+    got = {r["row"]["doc_id"]: r["dedup"] for r in line_dedup(docs_of(spark, texts)).collect()}
+    for d, ls in enumerate(lines):
+        want, far = [], 0
+        for i in range(len(ls)):
+            n = 0
+            while i + n < len(ls) and where[tuple(x for _, x in ls[i : i + n + 1])][0] < (d, i):
+                n += 1
+            if n > 1 and i + n > far:
+                copies = where[tuple(x for _, x in ls[i : i + n])]
+                first, line = copies[0]
+                want.append((ls[i][0], n, len(copies), first, lines[first][line][0]))
+                far = i + n
+        assert [tuple(r) for r in got[d]["repeats"]] == want, d
+
+
 def test_html_raw_end_after_growing_capitals():
     """U+0130 is two characters in lower case; the end of a raw element is found where it stands."""
     from helixframe.llm.op09_html_extraction import parse, text_of
