@@ -23,6 +23,8 @@ SQL_CONF = {
 
 #: Rows of a batch that goes to Python, unless the session says otherwise.
 BATCH_ROWS = 1024
+#: Bytes of such a batch, unless the session says otherwise; a longer row is a batch of its own.
+BATCH_BYTES = 1 << 20
 
 
 def builder(app: str = "helixframe") -> SparkSession.Builder:
@@ -68,12 +70,14 @@ def discard(*tables: DataFrame) -> None:
 
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for a SparkContext, for Python stages there."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    sizes = {"maxRecordsPerBatch": BATCH_ROWS, "maxBytesPerBatch": BATCH_BYTES}
     if not getattr(spark, "_helixframe_batches", False):
         spark._helixframe_batches = True
         # long texts want less than the default; whoever set a value, the default's included, keeps it
-        if key not in spark.conf.getAll:
-            spark.conf.set(key, str(BATCH_ROWS))
+        for name, size in sizes.items():
+            key = f"spark.sql.execution.arrow.{name}"
+            if key not in spark.conf.getAll:
+                spark.conf.set(key, str(size))
     sc = spark.sparkContext
     if getattr(sc, "_helixframe_shipped", False):
         return
