@@ -362,8 +362,8 @@ def toxicity(docs: DataFrame, model: dict, text: str = "text", keep_text: bool =
             raw = [_bytes(x) for x in b["text_"]]
             scores, spans = np.zeros(len(raw)), []
             sizes = np.cumsum([len(x) for x in raw])
-            for part in np.unique(sizes // (4 << 20)).tolist():
-                at = np.flatnonzero(sizes // (4 << 20) == part)
+            for part in np.unique(sizes // (1 << 20)).tolist():
+                at = np.flatnonzero(sizes // (1 << 20) == part)
                 scores[at], found = score_texts(sent.value, [raw[i] for i in at])
                 spans += found
             tox = []
