@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import re
 import struct
+import zlib
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,21 +102,76 @@ def bgzf_safe(location: str) -> str:
     return re.sub(r"\?.*$", "", re.sub(r"//[^/@]*@", "//", location))
 
 
+# --- predictions ---------------------------------------------------------------------------------------------------
+
+#: Mark of a prediction matrix, amino acids of its columns, cell without a prediction, names of the classes.
+_MATRIX = b"VEP"
+_ACIDS = "ACDEFGHIKLMNPQRSTVWY"
+_NONE = 0xFFFF
+_CLASSES = {
+    "sift": ("tolerated", "deleterious", "tolerated - low confidence", "deleterious - low confidence"),
+    "polyphen": ("probably damaging", "possibly damaging", "benign", "unknown"),
+}
+_CLASSES["polyphen_humvar"] = _CLASSES["polyphen"]
+
+
+def prediction_matrix(raw: bytes, analysis: str) -> list[dict] | None:
+    """The cells of a prediction matrix, compressed or not: 16 bits each, the class in the top two, 1000 times the score in the
+    last ten. None for what is no whole matrix, holds no prediction or is of an analysis not known.
+    """
+    names = _CLASSES.get(analysis)
+    if raw.startswith(b"\x1f\x8b"):
+        try:
+            raw = gzip.decompress(raw)
+        except (OSError, EOFError, zlib.error):
+            return None
+    if names is None or not raw.startswith(_MATRIX) or len(raw) % 2 == 0 or len(raw) < len(_MATRIX) + 2 * len(_ACIDS):
+        return None
+    cells = np.frombuffer(raw, "<u2", offset=len(_MATRIX))
+    cells = cells[: len(cells) // len(_ACIDS) * len(_ACIDS)]
+    at = np.flatnonzero(cells != _NONE)
+    found = zip((at // len(_ACIDS) + 1).tolist(), (at % len(_ACIDS)).tolist(), (cells[at] >> 14).tolist(), (cells[at] & 0x3FF).tolist(), strict=True)
+    return [{"position": k, "amino_acid": _ACIDS[a], "prediction": names[c], "score": x / 1000} for k, a, c, x in found] or None
+
+
+def predictions(found, analysis: str) -> list[dict] | None:
+    """The predictions of one analysis in a cache object: a matrix, or a list spelt out, whose incomplete entries are left out."""
+    if isinstance(found, dict) and isinstance(found.get("matrix"), bytes):
+        return prediction_matrix(found["matrix"], found.get("analysis") or analysis)
+    out = []
+    listed = found.get("predictions") if isinstance(found, dict) else found
+    for x in listed if isinstance(listed, list) else []:
+        if isinstance(x, dict) and _number(x.get("position")) is not None and x.get("amino_acid") and x.get("prediction"):
+            try:
+                out.append({"position": _number(x["position"]), "amino_acid": x["amino_acid"], "prediction": x["prediction"], "score": float(x.get("score"))})
+            except (TypeError, ValueError):
+                continue
+    return out or None
+
+
 # --- Storable ------------------------------------------------------------------------------------------------------
 
 
+def _scalar(raw: bytes):
+    """Text; prediction matrices stay bytes."""
+    return raw if raw.startswith((b"\x1f\x8b", _MATRIX)) else raw.decode("utf-8", "replace")
+
+
 class Storable:
-    """A decoder of Perl's network-order ``pst0`` files into dicts, lists and scalars; references are followed."""
+    """A decoder of Perl's ``pst0`` files, in network or native order, into dicts, lists and scalars; references are followed."""
 
     def __init__(self, data: bytes):
         if data[:4] != b"pst0":
             raise ValueError("not a Storable file")
         self.d = data
-        major = data[4]
         self.at = 6
-        if not major & 1:  # native order names its byte order and sizes
-            self.at = 6 + 1 + data[6] + 4
-            raise ValueError("native-order Storable files are not read")
+        self.order = ">"
+        if not data[4] & 1:  # native order names its byte order and the sizes of int, long, pointer and double
+            named = data[7 : 7 + data[6]]
+            if named not in (b"12345678", b"87654321", b"1234", b"4321"):
+                raise ValueError(f"Storable byte order {named!r} is not known")
+            self.order, self.wide = "<" if named.startswith(b"1") else ">", "q" if len(named) == 8 else "i"
+            self.at = 7 + len(named) + 4
         self.slots: list = []
         self.classes: list[str] = []
 
@@ -121,24 +179,36 @@ class Storable:
         self.at += 1
         return self.d[self.at - 1]
 
+    def _number(self, kind: str):
+        (x,) = struct.unpack_from(self.order + kind, self.d, self.at)
+        self.at += struct.calcsize(f"={kind}")
+        return x
+
     def _u32(self) -> int:
-        self.at += 4
-        return struct.unpack_from(">I", self.d, self.at - 4)[0]
+        return self._number("I")
 
     def _bytes(self, n: int) -> bytes:
         self.at += n
         return self.d[self.at - n : self.at]
 
+    def _class(self, op: int) -> str:
+        n = self._u8()
+        if n & 0x80:  # long names and indexes
+            n = self._u32()
+        if op == 0x12:
+            return self.classes[n]
+        self.classes.append(self._bytes(n).decode())
+        return self.classes[-1]
+
     def value(self):
         op = self._u8()
         if op == 0x00:
-            return self.slots[self._u32()]
-        if op == 0x11 or op == 0x12:
-            if op == 0x11:
-                self.classes.append(self._bytes(self._u8()).decode())
-                name = self.classes[-1]
-            else:
-                name = self.classes[self._u8()]
+            # object numbers are in network order in every file
+            (k,) = struct.unpack_from(">I", self.d, self.at)
+            self.at += 4
+            return self.slots[k]
+        if op in (0x11, 0x12):
+            name = self._class(op)
             inner = len(self.slots)  # the blessed value takes this slot, its children the next ones
             v = self.value()
             if isinstance(v, dict):
@@ -148,24 +218,34 @@ class Storable:
             return v
         slot = len(self.slots)
         self.slots.append(None)
-        if op in (0x04, 0x1B):
+        if op in (0x04, 0x14, 0x1B, 0x1C):
             v = self.value()
-        elif op == 0x05:
+        elif op in (0x05, 0x0E):
             v = None
+        elif op in (0x0F, 0x10):
+            v = int(op == 0x0F)
+        elif op == 0x06 and hasattr(self, "wide"):
+            v = self._number(self.wide)
+        elif op == 0x07 and hasattr(self, "wide"):
+            v = self._number("d")
         elif op == 0x08:
             v = self._u8() - 128
         elif op == 0x09:
+            (v,) = struct.unpack_from(">i", self.d, self.at)
             self.at += 4
-            v = struct.unpack_from(">i", self.d, self.at - 4)[0]
         elif op in (0x0A, 0x01, 0x17, 0x18):
-            v = self._bytes(self._u8() if op in (0x0A, 0x17) else self._u32()).decode("utf-8", "replace")
+            v = _scalar(self._bytes(self._u8() if op in (0x0A, 0x17) else self._u32()))
         elif op == 0x02:
             v = self.slots[slot] = []
             v += [self.value() for _ in range(self._u32())]
-        elif op == 0x03:
+        elif op in (0x03, 0x19):
             v = self.slots[slot] = {}
+            if op == 0x19:
+                self.at += 1
             for _ in range(self._u32()):
                 x = self.value()
+                if op == 0x19:
+                    self.at += 1
                 v[self._bytes(self._u32()).decode("utf-8", "replace")] = x
         else:
             raise ValueError(f"Storable opcode {op:#x} is not known")
@@ -190,7 +270,7 @@ def canonical(x) -> str:
             out = {k: plain(v[k]) for k in sorted(v) if k != "__class"} if isinstance(v, dict) else [plain(y) for y in v]
             seen.discard(id(v))
             return out
-        return v
+        return v.decode("utf-8", "replace") if isinstance(v, bytes) else v
 
     return json.dumps(plain(x), separators=(",", ":"), ensure_ascii=False)
 
@@ -202,10 +282,12 @@ class CacheFile(InputPartition):
 
 
 _INT, _STR = "bigint", "string"
+_EXONS = "array<struct<start:bigint,end:bigint,phase:bigint>>"
+_PREDICTIONS = "array<struct<position:int,amino_acid:string,prediction:string,score:float>>"
 FIELDS = {
-    "transcript": [("chrom", _STR), ("start", _INT), ("end", _INT), ("strand", "tinyint"), ("stable_id", _STR), ("version", _INT), ("biotype", _STR), ("source", _STR), ("is_canonical", "boolean"), ("gene_stable_id", _STR), ("gene_symbol", _STR), ("gene_symbol_source", _STR), ("db_id", _INT), ("cdna_coding_start", _INT), ("cdna_coding_end", _INT), ("coding_region_start", _INT), ("coding_region_end", _INT), ("translation_stable_id", _STR), ("exon_count", _INT), ("exons", "array<struct<start:bigint,end:bigint,phase:bigint>>"), ("source_file", _STR), ("object_hash", _STR), ("raw_object_json", _STR)],
+    "transcript": [("chrom", _STR), ("start", _INT), ("end", _INT), ("strand", "tinyint"), ("stable_id", _STR), ("version", _INT), ("biotype", _STR), ("source", _STR), ("is_canonical", "boolean"), ("gene_stable_id", _STR), ("gene_symbol", _STR), ("gene_symbol_source", _STR), ("db_id", _INT), ("cdna_coding_start", _INT), ("cdna_coding_end", _INT), ("coding_region_start", _INT), ("coding_region_end", _INT), ("translation_stable_id", _STR), ("exon_count", _INT), ("exons", _EXONS), ("source_file", _STR), ("object_hash", _STR), ("raw_object_json", _STR)],
     "exon": [("chrom", _STR), ("start", _INT), ("end", _INT), ("strand", "tinyint"), ("stable_id", _STR), ("version", _INT), ("transcript_id", _STR), ("exon_number", _INT), ("phase", _INT), ("end_phase", _INT), ("gene_stable_id", _STR), ("source_file", _STR), ("object_hash", _STR)],
-    "translation": [("chrom", _STR), ("start", _INT), ("end", _INT), ("transcript_id", _STR), ("stable_id", _STR), ("version", _INT), ("cdna_coding_start", _INT), ("cdna_coding_end", _INT), ("peptide", _STR), ("cds_len", _INT), ("protein_len", _INT), ("source_file", _STR), ("object_hash", _STR)],
+    "translation": [("chrom", _STR), ("start", _INT), ("end", _INT), ("transcript_id", _STR), ("stable_id", _STR), ("version", _INT), ("cdna_coding_start", _INT), ("cdna_coding_end", _INT), ("peptide", _STR), ("cds_len", _INT), ("protein_len", _INT), ("sift_predictions", _PREDICTIONS), ("polyphen_predictions", _PREDICTIONS), ("source_file", _STR), ("object_hash", _STR)],
     "regulatory": [("chrom", _STR), ("start", _INT), ("end", _INT), ("strand", "tinyint"), ("stable_id", _STR), ("feature_type", _STR), ("db_id", _INT), ("source_file", _STR), ("object_hash", _STR), ("raw_object_json", _STR)],
     "motif": [("chrom", _STR), ("start", _INT), ("end", _INT), ("strand", "tinyint"), ("motif_id", _STR), ("binding_matrix", _STR), ("score", "double"), ("db_id", _INT), ("source_file", _STR), ("object_hash", _STR), ("raw_object_json", _STR)],
 }
@@ -257,12 +339,17 @@ class VepEntityReader(Reader):
                 rows += [base | {"transcript_id": x["stable_id"], "start": _number(e.get("start")), "end": _number(e.get("end")), "stable_id": e.get("stable_id"), "version": _number(e.get("version")), "exon_number": k + 1, "phase": _number(e.get("phase")), "end_phase": _number(e.get("end_phase")), "gene_stable_id": x.get("_gene_stable_id"), "object_hash": fnv1a(canonical(e).encode())} for k, e in enumerate(exons)]
             elif tr:
                 a, b = _number(x.get("cdna_coding_start")), _number(x.get("cdna_coding_end"))
-                peptide = (x.get("_variation_effect_feature_cache") or {}).get("peptide")
-                rows.append(base | {"transcript_id": x["stable_id"], "stable_id": tr.get("stable_id"), "version": _number(tr.get("version")), "cdna_coding_start": a, "cdna_coding_end": b, "peptide": peptide, "cds_len": b - a + 1 if a and b else None, "protein_len": len(peptide) if peptide else None, "object_hash": fnv1a(canonical(tr).encode())})
+                cached = x.get("_variation_effect_feature_cache") or {}
+                peptide = cached.get("peptide")
+                scored = cached.get("protein_function_predictions") or {}
+                called = {f"{k}_predictions": predictions(scored.get(key), k) for k, key in (("sift", "sift"), ("polyphen", "polyphen_humvar")) if f"{k}_predictions" in self.names}
+                rows.append(base | {"transcript_id": x["stable_id"], "stable_id": tr.get("stable_id"), "version": _number(tr.get("version")), "cdna_coding_start": a, "cdna_coding_end": b, "peptide": peptide, "cds_len": b - a + 1 if a and b else None, "protein_len": len(peptide) if peptide else None, "object_hash": fnv1a(canonical(tr).encode())} | called)
         kinds = {"bigint": pa.int64(), "string": pa.string(), "tinyint": pa.int8(), "boolean": pa.bool_(), "double": pa.float64()}
+        kinds[_EXONS] = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("phase", pa.int64())]))
+        kinds[_PREDICTIONS] = pa.list_(pa.struct([("position", pa.int32()), ("amino_acid", pa.string()), ("prediction", pa.string()), ("score", pa.float32())]))
         columns = {}
         for n, t in FIELDS[entity]:
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("phase", pa.int64())])) if t.startswith("array") else kinds[t]
+            kind = kinds[t]
             values = [r.get(n) for r in rows]
             columns[n] = pa.array([v - 1 if n == "start" and zero and v is not None else v for v in values], kind)
         if rows:
@@ -283,12 +370,6 @@ class VepEntitySource(DataSource):
         return VepEntityReader(self.options, schema)
 
 
-def sift_matrix(raw: bytes) -> list[tuple[int, int, int, float]]:
-    """(position, amino acid index, class, score) of a prediction matrix: 16-bit cells, class in the top bits, score / 1000."""
-    cells = struct.unpack(f"<{len(raw) // 2}H", raw[: len(raw) // 2 * 2])
-    return [(k // 20 + 1, k % 20, c >> 14, (c & 0x3FF) / 1000) for k, c in enumerate(cells) if c != 0xFFFF]
-
-
 #: Fixed value: the standard genetic code, bases in the order TCAG.
 _CODE = "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
 
