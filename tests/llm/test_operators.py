@@ -403,6 +403,58 @@ def test_embedding_dedup_dense_group(spark, monkeypatch):
     assert {got[i]["component_id"] for i in range(0, len(x), 3)} == {0}
 
 
+def test_embedding_dedup_copies_codes_only(spark, monkeypatch):
+    """Vectors without clusters, of which a few have copies: what is dealt out for comparison is under 4 times the vectors."""
+    from pyspark.sql import functions as F
+
+    from helixframe.llm import op07_embedding_dedup as op
+
+    moved = []
+    name = "by_unit" if hasattr(op, "by_unit") else "by_group"
+    deal = getattr(op, name)
+
+    def watched(df, *rest):
+        wide = [F.length(f.name) for f in df.schema.fields if f.dataType.typeName() == "binary"]
+        moved.append(df.agg(F.sum(sum(wide[1:], wide[0]))).first()[0] or 0)
+        return deal(df, *rest)
+
+    monkeypatch.setattr(op, name, watched)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(6000, 64)).astype(np.float32)
+    x[:60] = x[60:120] + 0.1 * rng.normal(size=(60, 64))
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in op.near_vectors(df).collect()}
+    assert got == {i: (1, i % 60) if i < 120 else (0, i) for i in range(6000)}
+    assert 0 < sum(moved) < 4 * x.nbytes
+
+
+def test_embedding_dedup_overlapping_lists(spark, monkeypatch):
+    """A label too large for the centroids' lists, with a dense group, chains and weights, against brute force; a smaller label beside it."""
+    from helixframe.llm import op07_embedding_dedup as op
+
+    for name, value in (("EXACT_ROWS", 300), ("OVERLAP_ROWS", 64), ("LIST_ROWS", 60), ("BLOCK", 50), ("TILE", 16)):
+        monkeypatch.setattr(op, name, value, raising=False)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(1500, 32))
+    x[::5] = rng.normal(size=32) + 0.23 * rng.normal(size=(300, 32))
+    for i in range(1, 1500, 5):
+        x[i] = x[i - 5 if i > 5 and i % 20 != 1 else i] + 0.2 * rng.normal(size=32)
+    x[7::300] = x[2]
+    label = np.where(np.arange(1500) % 7 == 3, 1, 0)
+    df = spark.createDataFrame([(i, v.tolist(), int(k)) for i, (v, k) in enumerate(zip(x, label, strict=True))], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r for r in op.near_vectors(df).collect()}
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    linked = (x @ x.T >= 0.93) & (label[:, None] == label)
+    assert linked.sum() > 40_000
+    assert [got[i]["n_links"] for i in range(1500)] == (linked.sum(1) - 1).tolist()
+    low = np.arange(1500)
+    for _ in range(1500):
+        low, was = np.where(linked, low, 1500).min(1), low
+        if (low == was).all():
+            break
+    assert [got[i]["component_id"] for i in range(1500)] == low.tolist()
+
+
 def test_line_dedup(spark):
     from helixframe.llm.op08_line_dedup import line_dedup
 
