@@ -17,34 +17,40 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _let(x: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it stands in ``body``."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
 def cigar_to_binary(cigar: Column | str) -> Column:
     """Little-endian 32-bit ``length << 4 | code`` per operation; '*' and '' give no bytes; zero lengths are an error."""
-    c = _c(cigar)
-    lengths = F.regexp_extract_all(c, F.lit(r"(\d+)[MIDNSHP=X]"), F.lit(1))
-    codes = F.regexp_extract_all(c, F.lit(r"\d+([MIDNSHP=X])"), F.lit(1))
 
-    def word(n, op):
-        v = F.when(n.cast("int") > 0, F.shiftleft(n.cast("int"), 4).bitwiseOR(F.instr(F.lit(OPERATIONS), op) - 1)).otherwise(F.raise_error(F.lit("CIGAR length of zero")).cast("int"))
-        h = F.lpad(F.hex(v), 8, "0")
-        return F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
+    def word(p):
+        n = F.substr(p, F.lit(1), F.length(p) - 1).cast("int")
+        v = _let(n, lambda n: F.when(n > 0, F.shiftleft(n, 4).bitwiseOR(F.instr(F.lit(OPERATIONS), F.right(p, F.lit(1))) - 1)).otherwise(F.raise_error(F.lit("CIGAR length of zero")).cast("int")))
+        return _let(F.lpad(F.hex(v), 8, "0"), lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2)))
 
-    whole = F.regexp_replace(c, r"\d+[MIDNSHP=X]", "") == ""
-    return F.when(c.isNull(), None).when(c.isin("*", ""), F.unhex(F.lit(""))).when(whole, F.unhex(F.array_join(F.zip_with(lengths, codes, word), ""))).otherwise(F.raise_error(F.concat(F.lit("not a CIGAR: "), c)).cast("binary"))
+    def whole(c):
+        words = lambda p: F.when(F.array_join(p, "") == c, F.unhex(F.array_join(F.transform(p, word), ""))).otherwise(F.raise_error(F.concat(F.lit("not a CIGAR: "), c)).cast("binary"))
+        return F.when(c.isNull(), None).when(c.isin("*", ""), F.unhex(F.lit(""))).otherwise(_let(F.regexp_extract_all(c, F.lit(r"\d+[MIDNSHP=X]"), F.lit(0)), words))
+
+    return _let(_c(cigar), whole)
 
 
 def binary_to_cigar(raw: Column | str) -> Column:
     """The text form; no bytes give '*'; a size that is no multiple of four is an error."""
-    h = F.hex(_c(raw))
-    n = (F.length(h) / 8).cast("int")
 
-    def op(k):
-        p = k * 8 + 1
-        le = F.concat(F.substr(h, p + 6, F.lit(2)), F.substr(h, p + 4, F.lit(2)), F.substr(h, p + 2, F.lit(2)), F.substr(h, p, F.lit(2)))
-        v = F.conv(le, 16, 10).cast("bigint")
-        return F.concat(F.shiftright(v, 4).cast("string"), F.substr(F.lit(OPERATIONS), v.bitwiseAND(F.lit(15)).cast("int") + 1, F.lit(1)))
+    def whole(h):
+        def op(k):
+            p = k * 8 + 1
+            le = F.concat(F.substr(h, p + 6, F.lit(2)), F.substr(h, p + 4, F.lit(2)), F.substr(h, p + 2, F.lit(2)), F.substr(h, p, F.lit(2)))
+            return _let(F.conv(le, 16, 10).cast("bigint"), lambda v: F.concat(F.shiftright(v, 4).cast("string"), F.substr(F.lit(OPERATIONS), v.bitwiseAND(F.lit(15)).cast("int") + 1, F.lit(1))))
+
+        n = (F.length(h) / 8).cast("int")
+        text = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), op), "")
+        return F.when(h.isNull(), None).when(F.length(h) == 0, "*").when(F.length(h) % 8 == 0, text).otherwise(F.raise_error(F.lit("binary CIGAR of a size that is no multiple of four")).cast("string"))
 
-    text = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), op), "")
-    return F.when(_c(raw).isNull(), None).when(F.length(h) == 0, "*").when(F.length(h) % 8 == 0, text).otherwise(F.raise_error(F.lit("binary CIGAR of a size that is no multiple of four")).cast("string"))
+    return _let(F.hex(_c(raw)), whole)
 
 
 def reference_span(cigar: Column | str) -> Column:

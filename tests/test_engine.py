@@ -437,3 +437,17 @@ def test_md_of_odd_bases():
             elif o == "S":
                 i += n
         assert nm_md("".join(f"{n}{o}" for n, o in ops), q, ref) == (nm, md + str(same))
+
+
+def test_aggregates_apart(spark, tmp_path):
+    """No key of the distinct count carries the buffers of a percentile; nulls and an empty table as before."""
+    from helixframe.catalog import QUERIES
+
+    df = QUERIES["approx_aggregates"](spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [x for x in plan if "keys=[l_orderkey" in x and "percentile" in x]
+    assert df.collect() == [(True, True)]
+    for k, (rows, want) in enumerate((([(1, 5.0), (None, None), (2, None)], (True, True)), ([(1, None)], (True, None)), ([], (True, None)))):
+        d = str(tmp_path / str(k))
+        spark.createDataFrame(rows, "l_orderkey long, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
+        assert QUERIES["approx_aggregates"](spark, d).collect() == [want]
