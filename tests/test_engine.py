@@ -451,3 +451,18 @@ def test_aggregates_apart(spark, tmp_path):
         d = str(tmp_path / str(k))
         spark.createDataFrame(rows, "l_orderkey long, l_quantity double").write.parquet(f"{d}/lineitem.parquet")
         assert QUERIES["approx_aggregates"](spark, d).collect() == [want]
+
+
+def test_cigar_is_parsed_once(spark):
+    """However many operations a CIGAR has, its text is parsed once on the way there and back; odd ones are still errors."""
+    from helixframe.functions.alignment import binary_to_cigar, cigar_to_binary
+
+    assert str(binary_to_cigar(cigar_to_binary("c"))).count("regexp_") == 1
+    texts = ["1M", "3M4I5D6N7S8H9P1=2X", "99999999M", "007M", "", "*", None]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(texts)], "i int, c string")
+    got = df.select("i", cigar_to_binary("c").alias("b")).select("i", "b", binary_to_cigar("b").alias("t")).orderBy("i").collect()
+    assert [r["t"] for r in got] == ["1M", "3M4I5D6N7S8H9P1=2X", "99999999M", "7M", "*", "*", None]
+    assert [None if r["b"] is None else len(r["b"]) for r in got] == [4, 36, 4, 4, 0, 0, None]
+    for c in ("0M", "3", "M", "3M 4I", "3M4", "-3M"):
+        with pytest.raises(Exception, match="CIGAR"):
+            spark.createDataFrame([(c,)], "c string").select(cigar_to_binary("c")).collect()
