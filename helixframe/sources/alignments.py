@@ -18,7 +18,7 @@ from helixframe.functions.alignment import OPERATIONS
 from helixframe.plans.regions import extract_regions
 
 from . import bgzf, indexes
-from .binary import Range, Reader, option, pruned
+from .binary import Reader, dealt, option, pruned
 
 #: Fixed value: the 4-bit base codes in order.
 BASES = "=ACMGRSVTWYHKDBN"
@@ -176,7 +176,9 @@ def tag_columns(data: np.ndarray, at: np.ndarray, stop: np.ndarray, wanted: dict
 
 def decode(raw: bytes, offsets: np.ndarray, refs: list[tuple[str, int]], names: list[str], wanted: dict[str, str], zero_based: bool) -> dict[str, pa.Array]:
     """The columns asked for of the records at these offsets, all at a time; what is not asked for is not decoded."""
-    data = np.frombuffer(raw, np.uint8)
+    first, last = int(offsets[0]), int(offsets[-1])
+    data = np.frombuffer(raw, np.uint8)[first : last + 4 + int.from_bytes(raw[last : last + 4], "little")]  # what other batches hold is not looked at
+    offsets = offsets - first
     head = data[offsets[:, None] + np.arange(36)].copy().view(_HEAD).reshape(-1)
     ask = set(names)
     at = offsets + 36
@@ -218,6 +220,102 @@ def decode(raw: bytes, offsets: np.ndarray, refs: list[tuple[str, int]], names:
     return out
 
 
+def opened(path: str, start: int, end: int) -> tuple[bgzf.Blocks, int, int] | None:
+    """(blocks, stream position of the first record, virtual offset of the end) of a byte range; None: no record begins in it."""
+    size = bgzf.size_of(path)
+    top = bgzf.Blocks(path)
+    _, refs, first = header(top)
+    with bgzf.open_raw(path) as f:
+        begin = bgzf.find_block(f, start, size)
+        stop = bgzf.find_block(f, end, size) if end < size else size
+    if begin >= stop:
+        return None
+    if start == 0:
+        return top, first, stop << 16
+    blocks, at = bgzf.Blocks(path, begin), 0
+    while blocks.need(at, 36) and blocks.block_of(at) < stop and not plausible(blocks, at, len(refs)):
+        at += 1
+        if at > 1 << 28:  # no record is as long
+            raise ValueError(f"no record begins behind byte {begin} of the BAM file")
+    if not blocks.need(at, 36) or blocks.block_of(at) >= stop:
+        return None  # one record covers the whole range
+    return blocks, at, stop << 16
+
+
+def records(blocks: bgzf.Blocks, at: int, stop: int) -> Iterator[np.ndarray]:
+    """Where in ``blocks.data`` records begin, from stream position ``at`` on and before virtual offset ``stop``; valid until the next step."""
+    limit = None  # stream position of the stop, once it is reached
+    while True:
+        blocks.fill_up(at - blocks.base + BATCH_BYTES, stop >> 16)
+        if limit is None and blocks.at > stop >> 16 or not blocks.need(at, 4):
+            # the last mark is the block of the stop, or the file ends before it
+            limit = next((p + (stop & 0xFFFF) for p, b in reversed(blocks.marks) if b == stop >> 16), blocks.base + len(blocks.data))
+        held = blocks.base + len(blocks.data)
+        offsets, k, data = [], at - blocks.base, blocks.data
+        behind = (held if limit is None else min(limit, held)) - blocks.base
+        while k + 4 <= len(data) and k < behind:
+            n = int.from_bytes(data[k : k + 4], "little")
+            if k + 4 + n > len(data):
+                break
+            offsets.append(k)
+            k += 4 + n
+        if offsets:
+            at = blocks.base + k
+            yield np.array(offsets, np.int64)
+            blocks.drop(at)
+        if limit is not None and at >= limit:
+            return
+        if not offsets:
+            if not blocks.need(at, 4):
+                return
+            (n,) = struct.unpack("<i", blocks.get(at, 4))
+            if not blocks.need(at + 4, n):
+                raise ValueError("BAM record cut off")
+
+
+def indexed(path: str, start: int, end: int) -> tuple[list[dict[int, list[list[int]]]], list[list[tuple[int, int]]]]:
+    """What the records that begin in a byte range add to an index, by reference: chunks by bin, and (window, virtual offset) of
+    each record that reaches a further 16 kb window than all before it."""
+    _, refs, _ = header(bgzf.Blocks(path))
+    bins: list[dict[int, list[list[int]]]] = [{} for _ in refs]
+    linear: list[list[tuple[int, int]]] = [[] for _ in refs]
+    found = opened(path, start, end)
+    if not found:
+        return bins, linear
+    blocks, at, stop = found
+    for offsets in records(blocks, at, stop):
+        data = np.frombuffer(blocks.data, np.uint8)
+        head = data[offsets[:, None] + np.arange(36)].copy().view(_HEAD).reshape(-1)
+        p = blocks.base + np.append(offsets, offsets[-1] + 4 + int(head["size"][-1]))
+        places, names = (np.array(x, np.int64) for x in zip(*blocks.marks, strict=True))
+        at = np.searchsorted(places, p, "right") - 1
+        voffset = np.where(p >= blocks.base + len(data), blocks.at << 16, names[at] << 16 | p - places[at])
+        ref, pos = head["ref"].astype(np.int64), head["pos"].astype(np.int64)
+        key = np.where((ref < 0) | (pos < 0), -1, ref << 16 | head["bin"])
+        first = np.flatnonzero(np.diff(key, prepend=-2))
+        for k, a, b in zip(key[first].tolist(), voffset[first].tolist(), voffset[np.append(first[1:], len(key))].tolist(), strict=True):
+            if k >= 0:
+                join(bins[k >> 16].setdefault(k & 0xFFFF, []), [a, b])
+        words, ends = spans(data, offsets + 36 + head["l_name"], 4 * head["n_cigar"].astype(np.int64))
+        words, ends = words.view("<u4").astype(np.int64), ends // 4
+        sums = np.concatenate(([0], np.cumsum(np.where(_CONSUMES[words & 15], words >> 4, 0))))
+        last = pos + np.maximum(sums[ends[1:]] - sums[ends[:-1]], 1) - 1 >> 14
+        for r in np.unique(ref[key >= 0]).tolist():
+            mine = np.flatnonzero((ref == r) & (key >= 0))
+            before = np.concatenate(([linear[r][-1][0] if linear[r] else -1], last[mine]))
+            further = mine[last[mine] > np.maximum.accumulate(before)[:-1]]
+            linear[r] += zip(last[further].tolist(), voffset[further].tolist(), strict=True)
+    return bins, linear
+
+
+def join(chunks: list[list[int]], more: list[int]) -> None:
+    """Append a chunk, or lengthen the last one that it follows at once."""
+    if chunks and chunks[-1][1] == more[0]:
+        chunks[-1][1] = more[1]
+    else:
+        chunks.append(list(more))
+
+
 @dataclass
 class Chunks(InputPartition):
     """Ranges of virtual offsets."""
@@ -243,7 +341,7 @@ class BamReader(Reader):
         regions = extract_regions(list(self.filters), self.zero_based())
         beside = indexes.find(self.path, option(self.options, "index") or None) if regions is not None else None
         if beside is None:
-            return [Range(a, min(a + step, n)) for a in range(0, max(n, 1), step)]
+            return dealt(n, step)
         _, refs, _ = header(bgzf.Blocks(self.path))
         index = indexes.load(beside, [r[0] for r in refs])
         found: list[list[int]] = []
@@ -261,63 +359,22 @@ class BamReader(Reader):
         return [Chunks(x) for x in out]
 
     def read(self, part):
-        size = bgzf.size_of(self.path)
-        top = bgzf.Blocks(self.path)
-        _, refs, first = header(top)
+        _, refs, _ = header(bgzf.Blocks(self.path))
         if isinstance(part, Chunks):
             for a, b in part.ranges:
                 blocks = bgzf.Blocks(self.path, a >> 16)
                 if blocks.fill():
                     yield from self._records(blocks, a & 0xFFFF, b, refs)
             return
-        with bgzf.open_raw(self.path) as f:
-            start = bgzf.find_block(f, part.start, size)
-            stop = bgzf.find_block(f, part.end, size) if part.end < size else size
-        if start >= stop:
-            return
-        if part.start == 0:
-            blocks, at = top, first
-        else:
-            blocks, at = bgzf.Blocks(self.path, start), 0
-            while blocks.need(at, 36) and blocks.block_of(at) < stop and not plausible(blocks, at, len(refs)):
-                at += 1
-                if at > 1 << 28:  # no record is as long
-                    raise ValueError(f"no record begins behind byte {start} of the BAM file")
-            if not blocks.need(at, 36) or blocks.block_of(at) >= stop:
-                return  # one record covers the whole range
-        yield from self._records(blocks, at, stop << 16, refs)
+        for r in part.ranges:
+            found = opened(self.path, r.start, r.end)
+            if found:
+                yield from self._records(*found, refs)
 
     def _records(self, blocks: bgzf.Blocks, at: int, stop: int, refs):
-        """Batches of the records from stream position ``at`` on that begin before virtual offset ``stop``."""
-        limit = None  # stream position of the stop, once it is reached
-        while True:
-            while blocks.base + len(blocks.data) - at < BATCH_BYTES and blocks.at <= stop >> 16 and blocks.fill():
-                pass
-            if limit is None and blocks.at > stop >> 16 or not blocks.need(at, 4):
-                # the last mark is the block of the stop, or the file ends before it
-                limit = next((p + (stop & 0xFFFF) for p, b in reversed(blocks.marks) if b == stop >> 16), blocks.base + len(blocks.data))
-            held = blocks.base + len(blocks.data)
-            offsets, k, data = [], at - blocks.base, blocks.data
-            behind = (held if limit is None else min(limit, held)) - blocks.base
-            while k + 4 <= len(data) and k < behind:
-                n = int.from_bytes(data[k : k + 4], "little")
-                if k + 4 + n > len(data):
-                    break
-                offsets.append(k)
-                k += 4 + n
-            if offsets:
-                at = blocks.base + k
-                for a in range(0, len(offsets), BATCH_ROWS):
-                    yield self._batch(data, np.array(offsets[a : a + BATCH_ROWS], np.int64), refs)
-                blocks.drop(at)
-            if limit is not None and at >= limit:
-                return
-            if not offsets:
-                if not blocks.need(at, 4):
-                    return
-                (n,) = struct.unpack("<i", blocks.get(at, 4))
-                if not blocks.need(at + 4, n):
-                    raise ValueError("BAM record cut off")
+        for offsets in records(blocks, at, stop):
+            for a in range(0, len(offsets), BATCH_ROWS):
+                yield self._batch(blocks.data, offsets[a : a + BATCH_ROWS], refs)
 
     def zero_based(self) -> bool:
         return option(self.options, "zeroBased", "true") == "true"
@@ -362,50 +419,165 @@ def infer_tags(path: str, rows: int = 100) -> dict[str, str]:
     return dict(sorted(found.items()))
 
 
+_CODES = np.full(256, 15, np.uint8)
+for _k, _b in enumerate(BASES):
+    _CODES[[ord(_b), ord(_b.lower())]] = _k
+_REF_OPS = np.array([o in "MDN=X" for o in OPERATIONS])
+_OP = re.compile(r"(\d+)([MIDNSHP=X])")
+
+
+def _ascii(column: pa.Array, code) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of texts, one byte a character; null, '*' and '' are empty, ``code`` gives the byte of what is not ASCII."""
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = pc.if_else(pc.equal(column, "*"), "", column)
+    if pc.sum(pc.binary_length(column)).as_py() != pc.sum(pc.utf8_length(column)).as_py():
+        each = [bytes(ord(c) if c.isascii() else code(c) for c in x) for x in column.to_pylist()]
+        column = pa.array(each, pa.large_binary())
+    return _bytes(column)
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of large strings without nulls."""
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = column.buffers()[2]
+    return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8))[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _whole(column: pa.Array, null: int, dtype: str, what: str, shift: int = 0) -> np.ndarray:
+    """Integers in the width of the file; what does not fit is an error."""
+    v = pc.fill_null(column.cast(pa.int64(), safe=False), null + shift).to_numpy(zero_copy_only=False) - shift
+    if len(v) and (v.min() < np.iinfo(dtype).min or v.max() > np.iinfo(dtype).max):
+        raise ValueError(f"{what} out of range")
+    return v.astype(dtype)
+
+
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(CIGAR words one after another, their number by record, reference bases by record); distinct texts are parsed once."""
+    known = pc.fill_null(column.cast(pa.string()), "").dictionary_encode()
+    texts, spans_, sizes = [], [], []
+    for c in known.dictionary.to_pylist():
+        ops = [(int(n), OPERATIONS.index(o)) for n, o in _OP.findall(c)]
+        if any(n >> 28 for n, _ in ops):
+            raise ValueError("CIGAR length out of range")
+        texts += [n << 4 | o for n, o in ops]
+        sizes.append(len(ops))
+        spans_.append(sum(n for n, o in ops if _REF_OPS[o]) or 1)
+    index, sizes = known.indices.to_numpy(zero_copy_only=False), np.array(sizes, np.int64)
+    begins = np.cumsum(sizes) - sizes
+    words, _ = spans(np.array(texts, "<u4"), begins[index], sizes[index])
+    return words, sizes[index], np.array(spans_, np.int64)[index]
+
+
+def _tag_pieces(tag: str, kind: str, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths by record) of one tag; a record without it has none."""
+    head = tag.encode()
+    if kind.startswith("B:"):
+        code = np.dtype(_SCALAR[kind[2:]])
+        each = [b"" if v is None else head + b"B" + kind[2:].encode() + struct.pack("<i", len(v)) + b"".join(struct.pack(_SCALAR[kind[2:]], x) for x in v) for v in column.to_pylist()]
+        return _bytes(pa.array(each, pa.large_binary()))
+    if pa.types.is_floating(column.type):
+        column = pc.if_else(pc.is_nan(column), None, column)
+    valid = pc.is_valid(column).to_numpy(zero_copy_only=False)
+    if kind in "ZHA":
+        if not (pa.types.is_string(column.type) or pa.types.is_large_string(column.type)):
+            column = pa.array([None if v is None else str(v) for v in column.to_pylist()], pa.string())
+        text = pc.fill_null(column.cast(pa.large_string()), "")
+        data, size = _bytes(pc.utf8_slice_codeunits(text, 0, 1) if kind == "A" else text)
+        tail = np.where(valid, kind != "A", False).astype(np.int64)
+        begin = np.tile(np.frombuffer(head + kind.encode(), np.uint8), int(valid.sum()))
+        return _laid([(begin, 3 * valid), (data, size), (np.zeros(int(tail.sum()), np.uint8), tail)])
+    code = np.dtype(_SCALAR[kind])
+    value = column.filter(pa.array(valid))
+    value = value.cast(pa.float64()).to_numpy(zero_copy_only=False).astype(code) if kind == "f" else _whole(value, 0, code.str, f"tag {tag}")
+    out = np.empty((len(value), 3 + code.itemsize), np.uint8)
+    out[:, :3] = np.frombuffer(head + kind.encode(), np.uint8)
+    out[:, 3:] = value.view(np.uint8).reshape(len(value), code.itemsize)
+    return out.reshape(-1), (3 + code.itemsize) * valid
+
+
+def _laid(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths by record) of records whose pieces, each (bytes, lengths by record), follow one another."""
+    total = sum(n for _, n in pieces)
+    at = np.cumsum(total) - total
+    out = np.empty(int(total.sum()), np.uint8)
+    for data, n in pieces:
+        out[np.repeat(at - (np.cumsum(n) - n), n) + np.arange(len(data))] = data
+        at = at + n
+    return out, total
+
+
+def encode(columns: dict[str, pa.Array], names: list[str], tags: dict[str, str], zero_based: bool) -> bytes:
+    """The BAM records of a batch, all at a time."""
+    n, shift = len(columns["flags"]), 0 if zero_based else 1
+    if columns["flags"].null_count:
+        raise ValueError("flags are null")
+    if n and pc.max(columns["flags"]).as_py() > 65535:
+        raise ValueError("flags over 65535")
+    text = pc.fill_null(columns["name"].cast(pa.large_string()), "")
+    name, l_name = _bytes(pc.if_else(pc.equal(text, ""), "*", text))
+    words, n_cigar, span = _words(columns["cigar"])
+    seq, l_seq = _ascii(columns["sequence"], lambda c: ord(c.upper()) if c.upper() in BASES else ord("N"))
+    qual, l_qual = _ascii(columns["quality_scores"], ord)  # beyond one byte is an error
+    ends = np.cumsum(l_seq)
+    half = (l_seq + 1) // 2
+    nibbles = np.zeros(2 * int(half.sum()), np.uint8)
+    nibbles[np.repeat(2 * (np.cumsum(half) - half) - (ends - l_seq), l_seq) + np.arange(len(seq))] = _CODES[seq]
+    scores = np.full(len(seq), 255, np.uint8)
+    same = l_qual == l_seq
+    mine, theirs = np.repeat(same, l_seq), np.repeat(same, l_qual)
+    scores[mine] = np.maximum(qual[theirs].astype(np.int16) - 33, 0)
+    refs = pa.array(names, pa.string())
+    chrom, mate = columns["chrom"].cast(pa.string()), columns["mate_chrom"].cast(pa.string())
+    ref = lambda x: pc.fill_null(pc.index_in(x, value_set=refs), -1).to_numpy(zero_copy_only=False)
+    head = np.zeros(n, _HEAD)
+    head["ref"], head["mate"] = ref(chrom), ref(pc.if_else(pc.equal(pc.fill_null(mate, ""), "="), chrom, mate))
+    head["pos"], head["mate_pos"] = (_whole(columns[c], -1, "<i4", c, shift) for c in ("start", "mate_start"))
+    for field, v in (("l_name", l_name + 1), ("n_cigar", n_cigar)):
+        if n and v.max() > np.iinfo(_HEAD[field]).max:
+            raise ValueError(f"{field} out of range")
+        head[field] = v
+    head["mapq"] = _whole(columns["mapping_quality"], 255, "u1", "mapping_quality")
+    head["flag"] = _whole(columns["flags"], 0, "<u2", "flags")
+    head["l_seq"], head["tlen"] = l_seq, _whole(columns["template_length"], 0, "<i4", "template_length")
+    p = head["pos"].astype(np.int64)
+    bin_ = np.where(p >= 0, 0, 4680)
+    for s, base in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):  # the smallest that holds both ends stays
+        bin_ = np.where((p >= 0) & (p >> s == (p + span - 1) >> s), base + (p >> s), bin_)
+    if n and bin_.max() > 65535:
+        raise ValueError("start out of range")
+    head["bin"] = bin_
+    pieces = [(name, l_name), (np.zeros(n, np.uint8), np.ones(n, np.int64)), (words.view(np.uint8), 4 * n_cigar), (nibbles[::2] << 4 | nibbles[1::2], half), (scores, l_seq)]
+    pieces += [_tag_pieces(t, k, columns[t]) for t, k in tags.items()]
+    head["size"] = 32 + sum(z for _, z in pieces)
+    out, _ = _laid([(head.view(np.uint8), np.full(n, 36, np.int64)), *pieces])
+    return out.tobytes()
+
+
 def bam_records(df: DataFrame, references: dict[str, int], tags: dict[str, str] | None = None, zero_based: bool = True) -> DataFrame:
-    """One binary BAM record per row, encoded in batches."""
-    names = {n: k for k, n in enumerate(references)}
-    tags = tags or {}
+    """BAM records, encoded in batches: a row has those of one batch, one after another."""
+    from helixframe.session import ship
+
+    ship(df.sparkSession)  # before the function is made, which takes the shipped code with it
+    names, tags = list(references), tags or {}
+    columns = [n for n, _ in CORE if n != "end"]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
 
-    def encode(batches):
-        import pandas as pd
+        def one():
+            b = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([encode({c: b.column(c) for c in b.schema.names}, names, tags, zero_based)], pa.binary())], names=["value"])
 
-        code = {c: k for k, c in enumerate(BASES)}
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                r = row._asdict()
-                null = lambda k, r=r: r[k] is None or r[k] != r[k]
-                flags = int(r["flags"])
-                if flags > 65535:
-                    raise ValueError("flags over 65535")
-                pos = lambda k: -1 if null(k) else int(r[k]) - (not zero_based)
-                cigar = "" if null("cigar") or r["cigar"] == "*" else r["cigar"]
-                ops = [(int(n), OPERATIONS.index(o)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
-                seq = "" if null("sequence") or r["sequence"] == "*" else r["sequence"]
-                qual = "" if null("quality_scores") or r["quality_scores"] == "*" else r["quality_scores"]
-                name = b"*" if null("name") or not r["name"] else r["name"].encode()
-                mate = r["chrom"] if not null("mate_chrom") and r["mate_chrom"] == "=" else r["mate_chrom"]
-                nibbles = [code.get(c.upper(), 15) for c in seq] + [0] * (len(seq) % 2)
-                span = sum(n for n, o in ops if o in (0, 2, 3, 7, 8)) or 1
-                p = pos("start")
-                e = p + span - 1
-                bin_ = next((base + (p >> s) for s, base in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)) if p >= 0 and p >> s == e >> s), 0 if p >= 0 else 4680)
-                data = struct.pack("<iiBBHHHiiii", names.get(r["chrom"], -1), p, len(name) + 1, 255 if null("mapping_quality") else int(r["mapping_quality"]), bin_, len(ops), flags, len(seq), names.get(mate, -1), pos("mate_start"), 0 if null("template_length") else int(r["template_length"]))
-                data += name + b"\0" + b"".join(struct.pack("<I", n << 4 | o) for n, o in ops)
-                data += bytes(a << 4 | c for a, c in zip(nibbles[::2], nibbles[1::2], strict=True))
-                data += bytes(max(ord(c) - 33, 0) for c in qual) if len(qual) == len(seq) else b"\xff" * len(seq)
-                for t, k in tags.items():
-                    v = r[t]
-                    if k.startswith("B:"):
-                        if v is not None:
-                            data += t.encode() + b"B" + k[2:].encode() + struct.pack("<i", len(v)) + b"".join(struct.pack(_SCALAR[k[2:]], x) for x in v)
-                    elif not null(t):
-                        data += t.encode() + k.encode() + (str(v).encode() + b"\0" if k in "ZH" else str(v)[:1].encode() if k == "A" else struct.pack(_SCALAR[k], float(v) if k == "f" else int(v)))
-                out.append(struct.pack("<i", len(data)) + data)
-            yield pd.DataFrame({"value": out})
-
-    return df.select(*[n for n, _ in CORE if n != "end"], *tags).mapInPandas(encode, "value binary")
+            if b.num_rows:
+                held.append(b)
+            if sum(x.num_rows for x in held) >= BATCH_ROWS or sum(x.nbytes for x in held) >= BATCH_BYTES // 2:
+                yield one()
+        if held:
+            yield one()
+
+    return df.select(*columns, *tags).mapInArrow(run, "value binary")
 
 
 def bam_header(references: dict[str, int], order: str = "unsorted") -> bytes:

@@ -23,6 +23,24 @@ class Range(InputPartition):
     end: int
 
 
+@dataclass
+class Ranges(InputPartition):
+    """Byte ranges that one task reads, one after another."""
+
+    ranges: list
+
+
+#: Tasks that small ranges are dealt to, and bytes of a task where there would be more of them.
+TASKS, TASK_BYTES = 256, 64 << 20
+
+
+def dealt(size: int, step: int) -> list[Ranges]:
+    """The ranges of ``step`` bytes of a file, in its order. Each is read for itself; a task has several where there are many."""
+    each = [Range(a, min(a + step, size)) for a in range(0, max(size, 1), step)]
+    n = max(min(TASK_BYTES, size // TASKS) // step, 1)
+    return [Ranges(each[k : k + n]) for k in range(0, len(each), n)]
+
+
 def option(options: dict, name: str, default: str = "") -> str:
     return {k.lower(): v for k, v in options.items()}.get(name.lower(), default)
 

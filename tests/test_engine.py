@@ -466,3 +466,32 @@ def test_cigar_is_parsed_once(spark):
     for c in ("0M", "3", "M", "3M 4I", "3M4", "-3M"):
         with pytest.raises(Exception, match="CIGAR"):
             spark.createDataFrame([(c,)], "c string").select(cigar_to_binary("c")).collect()
+
+
+def test_bam_encoded_in_batches(spark):
+    """Odd values record by record: absent, beyond ASCII, of different lengths; what does not fit is an error."""
+    import struct
+
+    import pyarrow as pa
+
+    from helixframe.sources.alignments import bam_records, encode
+
+    def batch(**x):
+        base = {"name": "r", "chrom": "c", "start": 5, "flags": 1, "cigar": "2M1I", "mapping_quality": 7, "mate_chrom": "=", "mate_start": 9, "sequence": "ACg", "quality_scores": "!+5", "template_length": -1, "NM": 3, "RG": "z"} | x
+        kinds = {"start": pa.int64(), "flags": pa.int64(), "mapping_quality": pa.int64(), "mate_start": pa.int64(), "template_length": pa.int32(), "NM": pa.int64()}
+        return {k: pa.array([v], kinds.get(k, pa.string())) for k, v in base.items()}
+
+    def record(**x):
+        return encode(batch(**x), ["c"], {"NM": "i", "RG": "Z"}, True)
+
+    head = struct.pack("<iiBBHHHiiii", 0, 5, 2, 7, 4681, 2, 1, 3, 0, 9, -1)
+    body = head + b"r\0" + struct.pack("<II", 2 << 4, 1 << 4 | 1) + bytes((0x12, 0x40, 0, 10, 20)) + b"NMi" + struct.pack("<i", 3) + b"RGZz\0"
+    assert record() == struct.pack("<i", len(body)) + body
+    assert record(sequence="éC", quality_scores="!", cigar=None, NM=None, RG=None, name=None)[36:] == b"*\0\xf2\xff\xff"
+    assert record(start=None, chrom="?", mate_start=None, mate_chrom=None)[4:12] == b"\xff" * 8
+    for bad in ({"flags": 65536}, {"flags": None}, {"start": 1 << 31}, {"mapping_quality": 256}, {"name": "x" * 255}, {"cigar": "268435456M"}, {"NM": 1 << 31}):
+        with pytest.raises(ValueError):
+            record(**bad)
+    schema = "name string, chrom string, start long, flags long, cigar string, mapping_quality long, mate_chrom string, mate_start long, sequence string, quality_scores string, template_length int"
+    df = spark.createDataFrame([("r", "c", k, 0, "1M", 1, None, None, "A", "I", 0) for k in range(3000)], schema).coalesce(1)
+    assert bam_records(df, {"c": 1 << 20}).count() < 10  # not one Python row a record
