@@ -55,7 +55,7 @@ def bam_sorted(spark, d):
 def bam_region(spark, d):
     """A region of a sorted file, read by the chunks of its BAI."""
     path = _sorted_bam(spark, d)
-    build_bai(path)
+    build_bai(path, spark)
     register(spark)
     v = spark.read.format("bam").option("tags", "NM=i").option("columns", "chrom,start,NM").load(path)
     return v.where("chrom = 'chr2' and start >= 300 and start <= 900").groupBy("start", "NM").agg(F.count("*").alias("n"))

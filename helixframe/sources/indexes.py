@@ -285,45 +285,38 @@ def build_tbi(path: str, columns: tuple[int, int, int] = (0, 1, 2), vcf: bool =
     return f"{path}.tbi"
 
 
-def build_bai(path: str) -> str:
-    """Index a BAM file that is sorted by coordinate, in one pass; written beside it."""
+def build_bai(path: str, spark=None) -> str:
+    """Index a BAM file that is sorted by coordinate; written beside it. With a session tasks read ranges of the file, and what
+    they found is joined in its order.
+    """
     from helixframe.sinks.lines import filesystem
 
-    from .alignments import header
+    from .alignments import header, indexed, join
 
-    blocks = bgzf.Blocks(path)
-    _, refs, at = header(blocks)
-    bins: list[dict[int, list[list[int]]]] = [{} for _ in refs]
-    linear: list[list[int]] = [[] for _ in refs]
-
-    def voffset(p: int) -> int:
-        block = blocks.block_of(p)
-        return block << 16 | p - max(x for x, b in blocks.marks if b == block)
+    _, refs, _ = header(bgzf.Blocks(path))
+    size = bgzf.size_of(path)
+    if spark is None:
+        parts = [indexed(path, 0, size)]
+    else:
+        from helixframe.session import ship
 
-    while blocks.need(at, 4):
-        (n,) = struct.unpack("<i", blocks.get(at, 4))
-        blocks.need(at + 4, n)
-        begin, r = voffset(at), blocks.get(at + 4, n)
-        at += 4 + n
-        stop = voffset(at) if blocks.need(at, 1) else blocks.at << 16
-        ref, pos, l_name, _, bin_, n_cigar = struct.unpack_from("<iiBBHH", r)
-        blocks.drop(at)
-        if ref < 0 or pos < 0:
-            continue
-        words = struct.unpack_from(f"<{n_cigar}I", r, 32 + l_name)
-        end = pos + max(sum(w >> 4 for w in words if w & 15 in (0, 2, 3, 7, 8)), 1)
-        own = bins[ref].setdefault(bin_, [])
-        if own and own[-1][1] == begin:
-            own[-1][1] = stop
-        else:
-            own.append([begin, stop])
-        for w in range(pos >> 14, (end - 1 >> 14) + 1):
-            while len(linear[ref]) <= w:
-                linear[ref].append(begin)
+        ship(spark)
+        sc = spark.sparkContext
+        step = min(max(size // (4 * sc.defaultParallelism), 1 << 18), 32 << 20)
+        ranges = [(a, min(a + step, size)) for a in range(0, size, step)]
+        parts = sc.parallelize(ranges, len(ranges)).map(lambda r: indexed(path, *r)).collect()
     out = b"BAI\1" + struct.pack("<i", len(refs))
-    for b, w in zip(bins, linear, strict=True):
-        out += struct.pack("<i", len(b)) + b"".join(struct.pack("<Ii", k, len(c)) + b"".join(struct.pack("<QQ", *x) for x in c) for k, c in b.items())
-        out += struct.pack("<i", len(w)) + struct.pack(f"<{len(w)}Q", *w)
+    for k in range(len(refs)):
+        bins: dict[int, list[list[int]]] = {}
+        windows: list[int] = []
+        for found, further in parts:
+            for b, chunks in found[k].items():
+                for c in chunks:
+                    join(bins.setdefault(b, []), c)
+            for w, begin in further[k]:
+                windows += [begin] * (w + 1 - len(windows))
+        out += struct.pack("<i", len(bins)) + b"".join(struct.pack("<Ii", b, len(c)) + b"".join(struct.pack("<QQ", *x) for x in c) for b, c in bins.items())
+        out += struct.pack("<i", len(windows)) + struct.pack(f"<{len(windows)}Q", *windows)
     fs, p = filesystem(f"{path}.bai")
     with fs.open_output_stream(p, compression=None) as f:
         f.write(out)

@@ -468,6 +468,27 @@ def test_cigar_is_parsed_once(spark):
             spark.createDataFrame([(c,)], "c string").select(cigar_to_binary("c")).collect()
 
 
+def test_bai_by_ranges(spark, tmp_path):
+    """An index whose ranges are read by tasks is the index of one pass, record by record."""
+    from helixframe.sources import alignments, bgzf
+    from helixframe.sources.indexes import build_bai, load
+
+    rows = [(f"r{k}", f"c{k % 3}" if k % 50 else None, k * 7 if k % 50 else None, 0, f"{1 + k % 90}M" if k % 7 else "400000M", 9, None, None, "A" * (k % 90), "", 0) for k in range(60_000)]
+    schema = "name string, chrom string, start long, flags long, cigar string, mapping_quality long, mate_chrom string, mate_start long, sequence string, quality_scores string, template_length int"
+    path = str(tmp_path / "t.bam")
+    alignments.write_bam(spark.createDataFrame(rows, schema).repartition(5), path, {f"c{k}": 1 << 28 for k in range(3)}, sort=True)
+    with open(build_bai(path), "rb") as f:
+        serial = f.read()
+    with open(build_bai(path, spark), "rb") as f:
+        assert f.read() == serial
+    assert bgzf.size_of(path) > 1 << 18  # more than one range
+    index = load(f"{path}.bai", ["c0", "c1", "c2"])
+    for c in range(3):
+        mine = sorted((r[2], int(r[4][:-1])) for r in rows if r[1] == f"c{c}")
+        reach = max(s + n - 1 >> 14 for s, n in mine)
+        assert len(index.linear[c]) == reach + 1 and index.linear[c] == sorted(index.linear[c]) and index.bins[c]
+
+
 def test_bam_encoded_in_batches(spark):
     """Odd values record by record: absent, beyond ASCII, of different lengths; what does not fit is an error."""
     import struct
