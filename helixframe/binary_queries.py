@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -43,12 +45,34 @@ def _sorted_bam(spark, d) -> str:
 
 @query("SELECT 'chr' || (1 + l_orderkey % 3) AS name, count(*) AS n, 0::BIGINT AS out_of_order FROM lineitem GROUP BY 1")
 def bam_sorted(spark, d):
-    """Sorted on write: in the file's own order no record stands before one of a smaller start."""
+    """Sorted on write: in the file's own order no record stands before one of a smaller start. Tasks compare within their part of
+    the file, and what meets at the parts' edges is compared behind them.
+    """
     register(spark)
-    rows = spark.read.format("bam").option("columns", "chrom,start").option("splitBytes", 1 << 20).load(_sorted_bam(spark, d)).withColumn("at", F.monotonically_increasing_id())
-    w = Window.partitionBy("chrom").orderBy("at")
-    after = rows.withColumn("wrong", (F.lag("start").over(w) > F.col("start")).cast("int"))
-    return after.groupBy(F.col("chrom").alias("name")).agg(F.count("*").alias("n"), F.coalesce(F.sum("wrong"), F.lit(0)).alias("out_of_order"))
+    rows = spark.read.format("bam").option("columns", "chrom,start").option("splitBytes", 1 << 20).load(_sorted_bam(spark, d))
+    parts = rows.select("chrom", "start").mapInArrow(_compared, "name string, part int, n bigint, wrong bigint, first bigint, last bigint")
+    edge = F.lag("last").over(Window.partitionBy("name").orderBy("part")) > F.col("first")
+    parts = parts.withColumn("edge", F.coalesce(edge.cast("bigint"), F.lit(0)))
+    return parts.groupBy("name").agg(F.sum("n").alias("n"), F.sum(F.col("wrong") + F.col("edge")).alias("out_of_order"))
+
+
+def _compared(batches):
+    """For a task's chromosomes: records, starts below that of the record before, the first start and the last."""
+    from pyspark import TaskContext
+
+    found: dict = {}
+    for b in batches:
+        for c in pc.unique(b["chrom"]).to_pylist():
+            starts = b["start"].filter(pc.is_null(b["chrom"]) if c is None else pc.fill_null(pc.equal(b["chrom"], c), False))
+            one = found.setdefault(c, [0, 0, starts[0].as_py(), starts[0].as_py()])
+            before = pa.concat_arrays([pa.array([one[3]], pa.int64()), starts[:-1]])
+            one[0] += len(starts)
+            one[1] += pc.sum(pc.greater(before, starts)).as_py() or 0
+            one[3] = starts[-1].as_py()
+    rows = [(c, TaskContext.get().partitionId(), *x) for c, x in found.items()]
+    types = [pa.string(), pa.int32(), *[pa.int64()] * 4]
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=["name", "part", "n", "wrong", "first", "last"])
 
 
 @query("SELECT l_partkey AS start, l_linenumber AS NM, count(*) AS n FROM lineitem WHERE 1 + l_orderkey % 3 = 2 AND l_partkey BETWEEN 300 AND 900 GROUP BY ALL")

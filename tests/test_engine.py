@@ -489,6 +489,31 @@ def test_bai_by_ranges(spark, tmp_path):
         assert len(index.linear[c]) == reach + 1 and index.linear[c] == sorted(index.linear[c]) and index.bins[c]
 
 
+def test_bam_order_across_tasks(spark, tmp_path, monkeypatch):
+    """Disorder within a task's part of the file and at the edges of parts is counted, as one pass over the file counts it."""
+    from helixframe import binary_queries
+    from helixframe.sources.alignments import write_bam
+
+    rng = random.Random(2)
+    rows = [(f"r{k}", f"c{k % 2}", k * 3 if rng.random() > 0.2 else rng.randrange(90_000), 0, "9M", 9, None, None, "ACGTACGTA", "", 0) for k in range(30_000)]
+    schema = "name string, chrom string, start long, flags long, cigar string, mapping_quality long, mate_chrom string, mate_start long, sequence string, quality_scores string, template_length int"
+    path = str(tmp_path / "t.bam")
+    write_bam(spark.createDataFrame(rows, schema).coalesce(1), path, {"c0": 1 << 28, "c1": 1 << 28})
+    monkeypatch.setattr(binary_queries, "_sorted_bam", lambda *a: path)
+    reader = spark.read
+    for step in (1 << 20, 30_000):
+        monkeypatch.setattr(type(reader), "option", lambda self, k, v, f=type(reader).option, step=step: f(self, k, step if k == "splitBytes" else v))
+        df = binary_queries.bam_sorted(spark, None)
+        monkeypatch.undo()
+        monkeypatch.setattr(binary_queries, "_sorted_bam", lambda *a: path)
+        want = []
+        for c in ("c0", "c1"):
+            starts = [r[2] for r in rows if r[1] == c]
+            want.append((c, len(starts), sum(a > b for a, b in zip(starts, starts[1:]))))
+        assert sorted(map(tuple, df.collect())) == want
+        assert "Window" not in "".join(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "monotonically" in x)
+
+
 def test_bam_encoded_in_batches(spark):
     """Odd values record by record: absent, beyond ASCII, of different lengths; what does not fit is an error."""
     import struct
