@@ -70,9 +70,11 @@ def pruned(fields: list[tuple[str, str]], options: dict) -> str:
 class FastqReader(Reader):
     def partitions(self):
         n, step = bgzf.size_of(self.path), int(option(self.options, "splitBytes", str(64 << 20)))
-        if bgzf.compression(self.path) == "gzip":
-            return [Range(0, n)]
-        return [Range(a, min(a + step, n)) for a in range(0, max(n, 1), step)]
+        return dealt(n, max(n, 1) if bgzf.compression(self.path) == "gzip" else step)
+
+    def read(self, part: Ranges):
+        for r in part.ranges:
+            yield from self._range(r)
 
     def _lines(self, part: Range) -> Iterator[tuple[bool, bytes]]:
         """(whether a record that starts here belongs to this range, line), from the first whole line on."""
@@ -91,7 +93,8 @@ class FastqReader(Reader):
                 at = part.start
                 f.seek(at)
                 rest, skip = b"", at > 0
-                while chunk := f.read(1 << 20):
+                size = min(max(part.end - part.start, 1 << 16), 1 << 20)
+                while chunk := f.read(size):
                     parts = (rest + chunk).split(b"\n")
                     rest = parts.pop()
                     for x in parts:
@@ -125,7 +128,7 @@ class FastqReader(Reader):
             at = blocks.base + k + 1
             blocks.drop(at)
 
-    def read(self, part: Range):
+    def _range(self, part: Range):
         lines = self._lines(part)
         held: list[tuple[bool, bytes]] = []
         if part.start > 0:  # in the middle: find the first line that can only be a record's first
@@ -167,7 +170,7 @@ class FastqReader(Reader):
 
     def _batch(self, columns):
         names = ("name", "description", "sequence", "quality_scores")
-        return self.batch({n: pa.array(c, pa.binary()).cast(pa.string()) for n, c in zip(names, columns, strict=True)})
+        return self.batch({n: pa.array(c, pa.binary()).cast(pa.string()) for n, c in zip(names, columns, strict=True) if n in self.names})
 
 
 class FastqSource(DataSource):

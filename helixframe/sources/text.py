@@ -410,9 +410,11 @@ def read_fasta(spark: SparkSession, path) -> DataFrame:
     return df.select(F.regexp_extract(head, r"^(\S*)", 1).alias("name"), F.when(rest != "", rest).alias("description"), F.regexp_replace(body, r"\s", "").alias("sequence"))
 
 
-def read_fastq(spark: SparkSession, path, split_bytes: int = 64 << 20) -> DataFrame:
-    """name, description, sequence, quality_scores. See sources.binary.FastqSource: byte ranges, BGZF block ranges, or one stream."""
+def read_fastq(spark: SparkSession, path, split_bytes: int = 64 << 20, columns: list[str] | None = None) -> DataFrame:
+    """name, description, sequence, quality_scores, or those of ``columns``. See sources.binary.FastqSource: byte ranges, BGZF block
+    ranges, or one stream.
+    """
     from .binary import register
 
     register(spark)
-    return spark.read.format("fastq").option("splitBytes", split_bytes).load(path)
+    return spark.read.format("fastq").option("splitBytes", split_bytes).option("columns", ",".join(columns or [])).load(path)

@@ -541,3 +541,28 @@ def test_bam_encoded_in_batches(spark):
     schema = "name string, chrom string, start long, flags long, cigar string, mapping_quality long, mate_chrom string, mate_start long, sequence string, quality_scores string, template_length int"
     df = spark.createDataFrame([("r", "c", k, 0, "1M", 1, None, None, "A", "I", 0) for k in range(3000)], schema).coalesce(1)
     assert bam_records(df, {"c": 1 << 20}).count() < 10  # not one Python row a record
+
+
+def test_small_ranges_share_tasks():
+    """However large a file is, small ranges make a bounded number of tasks until these hold 64 MB; all ranges are there, in order."""
+    from helixframe.sources.binary import dealt
+
+    for size, step, most in ((0, 1 << 18, 1), (1 << 20, 1 << 18, 4), (10 << 30, 1 << 18, 260), (60 << 30, 1 << 18, 960), (10 << 30, 64 << 20, 160)):
+        tasks = dealt(size, step)
+        ranges = [(r.start, r.end) for t in tasks for r in t.ranges]
+        assert len(tasks) <= most and len(ranges) == max(-(-size // step), 1)
+        assert ranges[0][0] == 0 and ranges[-1][1] == size and all(a[1] == b[0] for a, b in zip(ranges, ranges[1:]))
+
+
+def test_sink_joins_lines(spark, tmp_path):
+    """Lines go to the file as batches; a line that is null is an error, not an empty line."""
+    from helixframe.sinks.lines import joined, write_parts
+
+    import pyarrow as pa
+
+    assert joined(pa.array(["a", "", "é"]), b"\n") == "a\n\né\n".encode() and joined(pa.array([b"x", b"y"]), b"") == b"xy"
+    df = spark.range(3000, numPartitions=2).selectExpr("concat('l', id) AS value")
+    write_parts(df, str(tmp_path / "t.txt"), "#h\n")
+    assert (tmp_path / "t.txt").read_text() == "#h\n" + "".join(f"l{k}\n" for k in range(3000))
+    with pytest.raises(Exception, match="null"):
+        write_parts(spark.sql("SELECT cast(null AS string) AS value"), str(tmp_path / "n.txt"))
