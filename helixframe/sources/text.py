@@ -221,19 +221,24 @@ def parse_vcf_header(lines: list[str]) -> dict:
     return out
 
 
+def _let(x: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it stands in ``body``."""
+    return F.get(F.transform(F.array(x), body), 0)
+
+
 def _typed(raw: Column, spec: dict) -> Column:
     kind = _TYPES.get(spec["type"], "string")
     if spec["number"] in ("1", "0"):
-        return _dot(raw).cast(kind)
-    return F.when(~raw.isin(".", ""), F.transform(F.split(raw, ","), lambda x: _dot(x).cast(kind)))
+        return _let(raw, lambda x: _dot(x).cast(kind))
+    return _let(raw, lambda raw: F.when(~raw.isin(".", ""), F.transform(F.split(raw, ","), lambda x: _dot(x).cast(kind))))
 
 
 def _info(text: Column, name: str, spec: dict) -> Column:
     hit = F.get(F.filter(F.split(text, ";"), lambda p: (p == name) | F.startswith(p, F.lit(f"{name}="))), 0)
-    value = F.when(F.instr(hit, "=") > 0, F.substr(hit, F.lit(len(name) + 2), F.length(hit)))
+    value = lambda hit: F.when(F.instr(hit, "=") > 0, F.substr(hit, F.lit(len(name) + 2), F.length(hit)))
     if spec["type"] == "Flag":
-        return F.when(value.isNotNull(), F.raise_error(F.lit(f"INFO flag {name} has a value")).cast("boolean")).otherwise(hit.isNotNull())
-    return _typed(value, spec)
+        return _let(hit, lambda hit: F.when(value(hit).isNotNull(), F.raise_error(F.lit(f"INFO flag {name} has a value")).cast("boolean")).otherwise(hit.isNotNull()))
+    return _typed(_let(hit, value), spec)
 
 
 def select_samples(available: list[str], wanted: list[str] | None, missing: str = "error") -> list[str]:
@@ -261,7 +266,7 @@ def read_vcf(spark: SparkSession, path: str, info_fields: list[str] | None = Non
     sample; which of both depends on the file, not on the selection.
     """
     head = vcf_header(spark, path)
-    f = F.split("value", "\t")
+    f = F.col("f")  # the fields of a line, split once for all columns
     pos, ref, alt, info = F.get(f, 1), F.get(f, 3), F.get(f, 4), F.get(f, 7)
     snv = ref.rlike("^[ACGT]$") & alt.rlike("^[ACGT]$")
     ends = F.get(F.filter(F.split(info, ";"), lambda p: F.startswith(p, F.lit("END="))), 0)
@@ -289,25 +294,24 @@ def read_vcf(spark: SparkSession, path: str, info_fields: list[str] | None = Non
         raise ValueError(f"no such FORMAT field: {unknown[0]}")
     chosen = select_samples(head["samples"], samples, missing_samples)
     if formats and head["samples"]:
-        keys = F.split(F.get(f, 8), ":")
+        place = lambda n: F.array_position(F.split(F.get(f, 8), ":"), n).cast("int")
 
-        def value(sample: Column, n: str) -> Column:
-            spec = head["format"][n]
-            at = F.array_position(keys, n).cast("int")
+        def value(sample: Column, n: str, at: Column) -> Column:
             raw = F.when(at > 0, F.get(F.split(sample, ":"), at - 1))
-            return raw if n == "GT" else _typed(raw, spec)
+            return raw if n == "GT" else _typed(raw, head["format"][n])
 
         if len(head["samples"]) == 1:
             for n in formats:
                 name = free_name(n, taken)
                 taken.append(name)
-                out.append(_as(value(F.get(f, 9), n), name, field_type="FORMAT", source=n, **head["format"][n]))
+                out.append(_as(_let(place(n), lambda at, n=n: value(F.get(f, 9), n, at)), name, field_type="FORMAT", source=n, **head["format"][n]))
         else:
             columns = F.array(*[F.get(f, 9 + head["samples"].index(s)) for s in chosen])
-            each = lambda n: F.transform(columns, lambda s: value(s, n)).alias(n)
+            each = lambda n: _let(place(n), lambda at: F.transform(columns, lambda s: value(s, n, at))).alias(n)
             struct = F.struct(*[each(n) for n in formats])
             out.append(struct.alias("genotypes", metadata={"bio.samples": chosen}))
-    return (lines(spark, path) if regions is None else indexed_lines(spark, path, regions, partitions)).select(*out)
+    rows = lines(spark, path) if regions is None else indexed_lines(spark, path, regions, partitions)
+    return rows.select(F.split("value", "\t").alias("f")).select(*out)
 
 
 def free_name(name: str, taken: list[str]) -> str:

@@ -543,6 +543,18 @@ def test_bam_encoded_in_batches(spark):
     assert bam_records(df, {"c": 1 << 20}).count() < 10  # not one Python row a record
 
 
+def test_vcf_lines_are_split_once(spark, tmp_path):
+    """A line's fields are split once for all columns, in a plan that reads samples, INFO and FORMAT; odd lines as before."""
+    from helixframe.sources.text import read_vcf
+
+    head = '##INFO=<ID=DP,Number=1,Type=Integer,Description="d">\n##INFO=<ID=AF,Number=A,Type=Float,Description="d">\n##INFO=<ID=DB,Number=0,Type=Flag,Description="d">\n##FORMAT=<ID=GT,Number=1,Type=String,Description="d">\n##FORMAT=<ID=DP,Number=1,Type=Integer,Description="d">\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\ta\tb\n'
+    (tmp_path / "a.vcf").write_text(head + "c\t5\t.\tA\tC\t.\tPASS\tAF=0.5,.;DB\tDP:GT\t3:0/1\t.\nc\t6\tx\tA\tC\t1\t.\tDP=4;AF=.\tGT\t0/0\t1/1\n")
+    v = read_vcf(spark, str(tmp_path / "a.vcf"))
+    assert v._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
+    got = [(r["DP"], r["AF"], r["DB"], r["genotypes"]["GT"], r["genotypes"]["DP"]) for r in v.orderBy("start").collect()]
+    assert got == [(None, [0.5, None], True, ["0/1", None], [3, None]), (4, None, False, ["0/0", "1/1"], [None, None])]
+
+
 def test_small_ranges_share_tasks():
     """However large a file is, small ranges make a bounded number of tasks until these hold 64 MB; all ranges are there, in order."""
     from helixframe.sources.binary import dealt
