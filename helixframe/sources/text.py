@@ -304,7 +304,7 @@ def read_vcf(spark: SparkSession, path: str, info_fields: list[str] | None = Non
             for n in formats:
                 name = free_name(n, taken)
                 taken.append(name)
-                out.append(_as(_let(place(n), lambda at, n=n: value(F.get(f, 9), n, at)), name, field_type="FORMAT", source=n, **head["format"][n]))
+                out.append(_as(_let(place(n), lambda at: value(F.get(f, 9), n, at)), name, field_type="FORMAT", source=n, **head["format"][n]))  # noqa: B023
         else:
             columns = F.array(*[F.get(f, 9 + head["samples"].index(s)) for s in chosen])
             each = lambda n: _let(place(n), lambda at: F.transform(columns, lambda s: value(s, n, at))).alias(n)

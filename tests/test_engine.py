@@ -553,6 +553,9 @@ def test_vcf_lines_are_split_once(spark, tmp_path):
     assert v._jdf.queryExecution().optimizedPlan().toString().count("split(value") == 1
     got = [(r["DP"], r["AF"], r["DB"], r["genotypes"]["GT"], r["genotypes"]["DP"]) for r in v.orderBy("start").collect()]
     assert got == [(None, [0.5, None], True, ["0/1", None], [3, None]), (4, None, False, ["0/0", "1/1"], [None, None])]
+    (tmp_path / "b.vcf").write_text("".join(x.rpartition("\t")[0] + "\n" if x[:2] != "##" else x + "\n" for x in (tmp_path / "a.vcf").read_text().splitlines()))
+    one = read_vcf(spark, str(tmp_path / "b.vcf")).orderBy("start").collect()
+    assert [(r["GT"], r["fmt_DP"]) for r in one] == [("0/1", 3), ("0/0", None)]
 
 
 def test_small_ranges_share_tasks():
